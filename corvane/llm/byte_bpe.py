@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
-import numpy as np
+import public_tokenizers
+import regex
 
-#: Entries after which the cache of a Python worker starts anew.
-CACHE = 400_000
+from .word_bpe import byte_alphabet
+
+#: Parts remembered by each of a Python worker's two cache generations; texts encoded at once.
+CACHE, TEXTS = 600_000, 500
 _CUT = re.compile(r"(?<=\S)(?= )")
-_RUN = re.compile(r"\s\s|^\s|\s$")
+_PART = re.compile(r" ?\S+|\s")
+#: Runs of white space, and characters on which Python and the split pattern disagree about being white space.
+_RUN = re.compile(r"\s\s|[\x1c-\x1f]")
 
 
 class ByteBPE:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's split pattern lets a word begin with a space and never run over one that follows a character
-    other than white space. So a text may be cut before each such space, and each part encoded (and remembered) alone.
+    other than white space. So a text may be cut before each such space, and each part encoded (and remembered) alone;
+    single white space of other kinds stands alone too. New parts go through the library's pattern and model directly,
+    which is twice as fast as whole encodings with their offsets; parts with special tokens go through all of it.
     """
 
     def __init__(self, path: str):
@@ -28,27 +37,37 @@ class ByteBPE:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        self._cache: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        pre = json.loads(self._tokenizer.to_str())["pre_tokenizer"]
+        self._direct = pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self._model = self._tokenizer.model
+        self._alphabet = byte_alphabet()
+        self._words = regex.compile(public_tokenizers.PATTERN).findall
+
+    def _ids(self, part: str) -> list[int]:
+        if not self._direct or any(s in part for s in self._special):
+            return self._tokenizer.encode(part, add_special_tokens=False).ids
+        alphabet, tokenize = self._alphabet, self._model.tokenize
+        return [t.id for w in self._words(part) for t in tokenize("".join([alphabet[b] for b in w.encode()]))]
 
     @staticmethod
     def parts(text: str) -> list[str]:
         if _RUN.search(text):
             return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        split = [self.parts(t) if t else [] for t in texts]
-        if len(self._cache) > CACHE:
-            self._cache.clear()
-        cache = self._cache
-        missing = list({p for parts in split for p in parts if p not in cache})
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            for p, e in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[p] = np.asarray(e.ids, "<u4").tobytes()
-        for parts in split:
-            yield b"".join([cache[p] for p in parts])
+        return _PART.findall(text)
+
+    def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TEXTS):
+            split = [self.parts(t) if t else [] for t in texts[at : at + TEXTS]]
+            if len(self._young) > CACHE:  # what is used again moves to the young generation, the rest goes with the old one
+                self._old, self._young = self._young, {}
+            young, old = self._young, self._old
+            for p in {p for parts in split for p in parts if p not in young}:
+                young[p] = old.get(p) or array("I", self._ids(p)).tobytes()
+            for parts in split:
+                yield b"".join([young[p] for p in parts])
 
 
 _LOADED: dict[str, ByteBPE] = {}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 CACHE = 250_000
 NONE = 1 << 60
 #: White space as Unicode defines it; str.split() also cuts at the four information separators.
-SPACE = r"[\t-\r \x85\xa0  -     　]+"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _SPACE, _SEPARATORS = regex.compile(SPACE), regex.compile(r"[\x1c-\x1f]")
 _SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
