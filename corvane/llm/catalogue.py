@@ -11,6 +11,7 @@ from .chat import format_conversations
 from .common import documents
 from .html_text import extract
 from .neighbours import search_embeddings
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality_classifier import classify_documents
 from .quality_rules import quality_rules
@@ -26,6 +27,7 @@ def _table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": lambda s, d: ngram_join(s, documents(s, d)),
     "op2_packing": lambda s, d: pack_documents(documents(s, d), BYTE_BPE),
     "op3_quality_rules": lambda s, d: quality_rules(documents(s, d)),
     "op4_quality_classifier": lambda s, d: classify_documents(documents(s, d), _table(s, d, "labels")),
