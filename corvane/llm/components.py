@@ -28,9 +28,9 @@ def connected_components(links: DataFrame, labels: DataFrame | None = None) -> D
             return comps
         # each component hooks to its smallest neighbour, if smaller; edges already name components
         parent = stage(edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("up")), "parents")
-        for _ in range(3):
+        for _ in range(2):
             above = parent.select(F.col("x").alias("up"), F.col("up").alias("top"))
-            parent = stage(parent.join(above, "up", "left").select("x", F.coalesce("top", "up").alias("up")), "parents")
+            parent = parent.join(above, "up", "left").select("x", F.coalesce("top", "up").alias("up"))
         moved = comps.join(parent.withColumnRenamed("x", "comp"), "comp", "left")
         fresh = moved.select("node", F.coalesce("up", "comp").alias("comp"))
         # the components themselves are nodes of what is left

@@ -1,8 +1,8 @@
 """Exact Jaccard self-join of word shingle sets by set-relation skipping.
 
 Index: every set lists its rarest shingles, as many as any partner must share one of (prefix filter); rarity comes from a
-count sketch of all shingles, and any order is exact. Lists are skipped in blocks of equal size class and position
-whose best possible overlap falls short. Answers: members of a list are compared with its leader first; a set that is
+count sketch of all shingles, and any order is exact. Lists are skipped in blocks of neighbouring positions whose best
+possible overlap falls short. Answers: members of a list are compared with its leader first; a set that is
 highly similar to the leader takes over the leader's answers (they are one component), and only pairs across different
 components are compared with each other. Equal sets are one set from the start. What is left is verified on the whole
 sets; nothing is capped.
@@ -25,9 +25,9 @@ from .shingles import set_id, sets_of
 WIDTH, PERCENT = 4, 85
 #: Counters of the shingle sketch (a power of two), counters in a piece of it, and bits of a set's parity signature.
 SKETCH, PIECE, SIGNATURE = 1 << 20, 1 << 16, 1024
-#: List entries a task takes for one shingle; longer lists are salted. Positions in a block.
-SALT, POSITIONS = 50_000, 8
-#: Leader rounds go on while comparing all pairs across components would make more than this many pairs a list entry.
+#: List entries of one shingle that share a leader; longer lists are salted. Positions in a block to skip, entries in a block to compare.
+SALT, POSITIONS, BLOCK = 50_000, 8, 1024
+#: Leader rounds end when comparing all pairs across components makes at most this many pairs a list entry, or after so many.
 PAIRS, ROUNDS = 4, 8
 TEXTS = 256
 
@@ -191,35 +191,86 @@ def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return led.select(F.least("set_id", "lead.set_id").alias("a"), F.greatest("set_id", "lead.set_id").alias("b")).distinct()
 
 
-def _class(n: Column) -> Column:
-    """Size classes so wide that sets which link are in the same or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-6).cast("int")
-
-
-def _bound(n: Column, pos: Column) -> Column:
-    """Shingles that a set can share from a position of its prefix on, this one included."""
-    return n - pos
+def _units(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Lists with several components, cut into blocks of about BLOCK entries; a unit (token, u, v) holds two blocks, or one with itself."""
+    open_lists = entries.groupBy("token").agg(F.min("comp").alias("_c0"), F.max("comp").alias("_c1"), F.count(F.lit(1)).alias("_m")).where("_c0 <> _c1")
+    rows = entries.join(open_lists.select("token", "_m"), "token").join(sets.select("set_id", "sig"), "set_id")
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("set_id", F.lit(9)), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("token", F.least("blk", "_j").alias("u"), F.greatest("blk", "_j").alias("v"), "blk", "set_id", "n", "pos", "comp", "sig")
+
+
+def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs across components that size, position and signatures leave. y is ordered by position block; whole blocks whose
+    best remaining length is below what x needs are skipped."""
+    firsts, seconds = [], []
+    order = np.lexsort((y["n"], y["pos"] // POSITIONS))
+    y = {k: v[order] for k, v in y.items()}
+    rest = y["n"] - y["pos"]
+    starts = np.flatnonzero(np.r_[True, np.diff(y["pos"] // POSITIONS) != 0])
+    best, ends = np.maximum.reduceat(rest, starts), np.r_[starts[1:], len(rest)]
+    for one, n, pos, comp, sig in zip(x["set_id"], x["n"], x["pos"], x["comp"], x["sig"]):
+        least = -(-PERCENT * n // 100)
+        for i in np.flatnonzero(best >= least):
+            s = slice(starts[i], ends[i])
+            m = y["n"][s]
+            need = -(-PERCENT * (n + m) // (100 + PERCENT))
+            ok = (y["comp"][s] != comp) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - pos, rest[s]) >= need)
+            if same:
+                ok &= y["set_id"][s] > one
+            at = np.flatnonzero(ok)
+            if len(at):
+                bits = np.bitwise_count(y["sig"][s][at] ^ sig).sum(1)
+                at = at[bits <= (n + m - 2 * need)[at]]
+                if len(at):
+                    firsts.append(np.full(len(at), one))
+                    seconds.append(y["set_id"][s][at])
+    none = np.empty(0, np.int64)
+    a, b = (np.concatenate(c) if c else none for c in (firsts, seconds))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _cross_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of entries that share a list but no component and may link. Memory: a unit's two blocks and a batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def meet(t: pa.Table) -> pa.RecordBatch:
+            col = {k: t.column(k).to_numpy() for k in ("token", "u", "v", "blk", "set_id", "n", "pos", "comp")}
+            col["n"], col["pos"] = col["n"].astype(np.int64), col["pos"].astype(np.int64)
+            col["sig"] = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
+            new = np.r_[True, (np.diff(col["token"]) != 0) | (np.diff(col["u"]) != 0) | (np.diff(col["v"]) != 0)]
+            edges = np.r_[np.flatnonzero(new), len(t)]
+            found = []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                g = {k: c[i:j] for k, c in col.items()}
+                if g["u"][0] == g["v"][0]:
+                    found.append(_compare(g, g, True))
+                else:
+                    left = g["blk"] == g["u"][0]
+                    found.append(_compare({k: c[left] for k, c in g.items()}, {k: c[~left] for k, c in g.items()}, False))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
-def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of entries of a list across components, by way of blocks: (token, size class, position block) headers are
-    joined first, and blocks whose best overlap is below what their smallest sizes need are skipped as a whole."""
-    rows = entries.select("token", "set_id", "n", "pos", "comp", _class(F.col("n")).alias("cls"), F.floor(F.col("pos") / POSITIONS).cast("int").alias("blk"))
-    rows = stage(rows, "entries")
-    head = rows.groupBy("token", "cls", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    left = head.select("token", F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("cls2"), F.col("cls").alias("cls1"), F.col("blk").alias("blk1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.col("c0").alias("p0"), F.col("c1").alias("p1"))
-    right = head.select("token", F.col("cls").alias("cls2"), F.col("blk").alias("blk2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("c0").alias("q0"), F.col("c1").alias("q1"))
-    met = left.join(right, ["token", "cls2"])
-    best = F.least(_bound(F.col("high1"), F.col("blk1") * POSITIONS), _bound(F.col("high2"), F.col("blk2") * POSITIONS))
-    one = (F.col("p0") == F.col("p1")) & (F.col("q0") == F.col("q1")) & (F.col("p0") == F.col("q0"))
-    met = met.where((best >= least_overlap(F.col("low1"), F.col("low2"))) & ~one).select("token", "cls1", "blk1", "cls2", "blk2")
-    x = rows.select("token", F.col("cls").alias("cls1"), F.col("blk").alias("blk1"), F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-    y = rows.select("token", F.col("cls").alias("cls2"), F.col("blk").alias("blk2"), F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    pairs = met.join(x, ["token", "cls1", "blk1"]).join(y, ["token", "cls2", "blk2"])
-    fits = F.least(_bound(F.col("nx"), F.col("px")), _bound(F.col("ny"), F.col("py"))) >= least_overlap(F.col("nx"), F.col("ny"))
-    ordered = (F.col("cls1") < F.col("cls2")) | (F.col("x") < F.col("y"))
-    pairs = pairs.where((F.col("cx") != F.col("cy")) & ordered & fits & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            if not len(t):
+                continue
+            key = [t.column(k).to_numpy() for k in ("token", "u", "v")]
+            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield meet(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and len(held):
+            yield meet(held)
+
+    units = _units(entries, sets)
+    keys = ["token", "u", "v"]
+    dealt = units.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _crossing(entries: DataFrame) -> tuple[int, int]:
@@ -245,18 +296,17 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     lists = stage(lists, "lists")
     sets = stage(_contents(docs, lists.select("set_id").distinct()), "contents")
     comps = _same_documents(members)
+    before = 0
     for turn in range(ROUNDS + 1):
         entries = lists.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         size, pairs = _crossing(entries)
         if not pairs:
             break
-        last = turn == ROUNDS or (turn and pairs <= PAIRS * size)
-        if last:
-            open_lists = entries.groupBy("token").agg(F.min("comp").alias("_c0"), F.max("comp").alias("_c1")).where("_c0 <> _c1").select("token")
-            links = verified(_cross_pairs(entries.join(open_lists, "token", "left_semi")), sets)
-        else:
-            links = verified(stage(_leader_pairs(entries, turn), "pairs"), sets)
-        comps = connected_components(stage(links, "links"), comps)
+        # leaders first; once they no longer halve what is left, or little is left, all pairs across components
+        last = turn == ROUNDS or (turn > 0 and (pairs <= PAIRS * size or 2 * pairs > before))
+        before = pairs
+        found = _cross_pairs(entries, sets) if last else _leader_pairs(entries, turn)
+        comps = connected_components(stage(verified(stage(found, "pairs"), sets), "links"), comps)
         if last:
             break
     return _labelled(members, comps)
