@@ -32,8 +32,10 @@ PAIRS = list(combinations_with_replacement(range(DIM), 2))
 def _repeat_words() -> Column:
     """Words in 8-word windows that occur twice or more: sort (hash, place), keep places beside an equal hash, measure their union."""
     n = F.size("_h")
-    # _h is named twice here on purpose: a column that is used once would be inlined into the lambda and computed for each window.
-    windows = F.when(n >= WINDOW, F.slice(F.transform("_h", lambda _, i: F.struct(F.xxhash64(F.slice("_h", i + 1, WINDOW)).alias("h"), i.alias("i"))), F.lit(1), n - (WINDOW - 1)))
+    # single elements, since a slice copies the whole array each time; _h is named more than once, since a column that is
+    # used once would be inlined into the lambda and computed for each window
+    hashed = lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(WINDOW)])
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
     s = F.col("_s")
     same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
     twice = F.filter(s, lambda x, k: F.when(k > 0, same(x, k - 1)).otherwise(False) | same(x, k + 1))
