@@ -200,9 +200,9 @@ def _units(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("token", F.least("blk", "_j").alias("u"), F.greatest("blk", "_j").alias("v"), "blk", "set_id", "n", "pos", "comp", "sig")
 
 
-def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs across components that size, position and signatures leave. y is ordered by position block; whole blocks whose
-    best remaining length is below what x needs are skipped."""
+def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs across components that size, position and signatures leave; with ``nearest`` only the likeliest partner of each x.
+    y is ordered by position block; whole blocks whose best remaining length is below what x needs are skipped."""
     firsts, seconds = [], []
     order = np.lexsort((y["n"], y["pos"] // POSITIONS))
     y = {k: v[order] for k, v in y.items()}
@@ -210,27 +210,36 @@ def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) ->
     starts = np.flatnonzero(np.r_[True, np.diff(y["pos"] // POSITIONS) != 0])
     best, ends = np.maximum.reduceat(rest, starts), np.r_[starts[1:], len(rest)]
     for one, n, pos, comp, sig in zip(x["set_id"], x["n"], x["pos"], x["comp"], x["sig"]):
-        least = -(-PERCENT * n // 100)
+        least, likeliest = -(-PERCENT * n // 100), None
         for i in np.flatnonzero(best >= least):
             s = slice(starts[i], ends[i])
             m = y["n"][s]
             need = -(-PERCENT * (n + m) // (100 + PERCENT))
             ok = (y["comp"][s] != comp) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - pos, rest[s]) >= need)
-            if same:
+            if same and not nearest:
                 ok &= y["set_id"][s] > one
             at = np.flatnonzero(ok)
             if len(at):
                 bits = np.bitwise_count(y["sig"][s][at] ^ sig).sum(1)
-                at = at[bits <= (n + m - 2 * need)[at]]
+                room = (n + m - 2 * need)[at] - bits.astype(np.int64)
+                if nearest:
+                    k = int(room.argmax())
+                    if room[k] >= 0 and (likeliest is None or room[k] > likeliest[0]):
+                        likeliest = (room[k], y["set_id"][s][at[k]])
+                    continue
+                at = at[room >= 0]
                 if len(at):
                     firsts.append(np.full(len(at), one))
                     seconds.append(y["set_id"][s][at])
+        if likeliest is not None:
+            firsts.append(np.array([one]))
+            seconds.append(np.array([likeliest[1]]))
     none = np.empty(0, np.int64)
     a, b = (np.concatenate(c) if c else none for c in (firsts, seconds))
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _cross_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of entries that share a list but no component and may link. Memory: a unit's two blocks and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +255,10 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 g = {k: c[i:j] for k, c in col.items()}
                 if g["u"][0] == g["v"][0]:
-                    found.append(_compare(g, g, True))
+                    found.append(_compare(g, g, True, nearest))
                 else:
                     left = g["blk"] == g["u"][0]
-                    found.append(_compare({k: c[left] for k, c in g.items()}, {k: c[~left] for k, c in g.items()}, False))
+                    found.append(_compare({k: c[left] for k, c in g.items()}, {k: c[~left] for k, c in g.items()}, False, nearest))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
@@ -296,16 +305,17 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     lists = stage(lists, "lists")
     sets = stage(_contents(docs, lists.select("set_id").distinct()), "contents")
     comps = _same_documents(members)
-    before = 0
+    before, stalled = 0, 0
     for turn in range(ROUNDS + 1):
         entries = lists.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         size, pairs = _crossing(entries)
         if not pairs:
             break
-        # leaders first; once they no longer halve what is left, or little is left, all pairs across components
-        last = turn == ROUNDS or (turn > 0 and (pairs <= PAIRS * size or 2 * pairs > before))
+        # leaders first; once they no longer halve what is left, twice each set's likeliest partner; then all pairs across components
+        stalled += bool(stalled) or (turn > 0 and 2 * pairs > before)
+        last = turn == ROUNDS or stalled > 2 or (turn > 0 and pairs <= PAIRS * size)
         before = pairs
-        found = _cross_pairs(entries, sets) if last else _leader_pairs(entries, turn)
+        found = _cross_pairs(entries, sets, not last) if last or stalled else _leader_pairs(entries, turn)
         comps = connected_components(stage(verified(stage(found, "pairs"), sets), "links"), comps)
         if last:
             break
