@@ -159,10 +159,6 @@ def judge(rows: DataFrame, params: DataFrame) -> DataFrame:
     return joined.withColumns({"mahalanobis2": d, "kept": ~F.col("base_failed") & ok}).drop("_l", "_g", "_own", "_wide", "_p")
 
 
-def fit_documents(docs: DataFrame) -> DataFrame:
-    return fit(stage(with_statistics(docs).where(~F.col("base_failed")).select("lang", "source", *X), "quality"))
-
-
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, base statistics, base_failed, kept, mahalanobis2. Null or empty texts have no words and fail the base rules."""
     rows = stage(with_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
@@ -171,7 +167,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs. The statistics are computed again beside the text,
-    which costs less than a shuffle of all texts."""
-    names = docs.columns
-    return judge(with_statistics(docs), fit_documents(docs)).where("kept").select(*names)
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names.
+
+    Rows and statistics are written together once. Filters on them must not stand right above the statistics: they would
+    be pushed below, the arrays of hashes inlined into the window lambdas, and each text split again for every word.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
+    rows = stage(with_statistics(whole).drop("text"), "quality")
+    params = fit(rows.where(~F.col("base_failed")).select("lang", "source", *X))
+    return judge(rows, params).where("kept").select("_doc.*")
