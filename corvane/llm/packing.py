@@ -1,7 +1,8 @@
 """Best-fit packing by the sum-of-squares rule.
 
-Each piece goes where the sum over all gaps g of (number of open bins with gap g) squared becomes smallest. The rule
-sees sizes only; pieces are dealt at random into groups of a fixed size and each group is packed in one task, longest
+Each piece goes into the open bin for which the sum over all gaps g of (number of open bins with gap g) squared becomes
+smallest; a fresh bin is opened only if none takes it, since bins opened to even out the counts would stay half empty
+when the pieces end. The rule sees sizes only; pieces are dealt at random into groups of a fixed size and each group is packed in one task, longest
 pieces first, so work is linear, memory bounded, and what a group leaves open is a small share of its bins.
 """
 
@@ -58,20 +59,16 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     bins: list[list[int]] = [[] for _ in range(length + 1)]
     where, offset, used = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     for i, s in enumerate(sizes.tolist()):
-        # change of the sum: gap g loses a bin, gap g - s gains one; gap 0 and a fresh bin's full gap are not counted
-        after = count[: length + 1 - s]
-        change = after - count[s:]
-        change[1:] *= 2
-        change[1:] += 2
-        change[0] = 1 - 2 * count[s]
-        fresh = 2 * count[length - s] + 1 if s < length else 0
+        gap = -1
         open_gaps = count[s:] > 0
-        best, gap = fresh, -1
         if open_gaps.any():
+            # change of the sum: gap g loses a bin, gap g - s gains one; gap 0 is not counted
+            change = count[: length + 1 - s] - count[s:]
+            change[1:] *= 2
+            change[1:] += 2
+            change[0] = 1 - 2 * count[s]
             change[~open_gaps] = np.iinfo(np.int64).max
-            k = int(change.argmin())
-            if change[k] <= fresh:
-                best, gap = int(change[k]), k + s
+            gap = int(change.argmin()) + s
         if gap < 0:
             b, at, left = used, 0, length - s
             used += 1
