@@ -27,8 +27,8 @@ MAGIC = b"CTOK0001"
 END_ID = 2
 #: Sample that the dictionary is trained on, by smallest hash of doc_id over all rows, and the dictionary's size.
 SAMPLE, DICTIONARY = 1500, 64 << 10
-#: Documents a file, about.
-FILE = 16_384
+#: Documents a file, about, and compressed bytes after which a file ends whatever its documents.
+FILE, FILE_BYTES = 16_384, 128 << 20
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4")])
 _FRAMES = "doc_id bigint, n bigint, frame binary"
 
@@ -82,24 +82,25 @@ def write_files(frames: DataFrame, root: str, dictionary: bytes, parts: int) ->
     """Files in ascending doc_id order; the manifest has a row a file: part, path, documents and ids in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, number = TaskContext.get(), 0
+        context, number, held = TaskContext.get(), 0, 0
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal rows, number
+            nonlocal rows, number, held
             fs, base = _connect(root)
             fs.create_dir(base, recursive=True)
             name = f"{context.partitionId():06d}-{number:06d}-{context.taskAttemptId()}.ctok"
             with fs.open_output_stream(f"{base}/{name}") as out:
                 out.write(file_bytes(rows, dictionary))
             cols = [[context.partitionId()], [number], [name], [len(rows)], [sum(r[1] for r in rows)]]
-            rows, number = [], number + 1
+            rows, number, held = [], number + 1, 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "number", "name", "documents", "ids"])
 
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 rows.append(row)
-                if len(rows) >= FILE:
+                held += len(row[2])
+                if len(rows) >= FILE or held >= FILE_BYTES:
                     yield flush()
         if rows:
             yield flush()
