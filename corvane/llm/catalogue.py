@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .quality_classifier import classify_documents
 from .quality_rules import quality_rules
 from .sharding import shard_documents
+from .sql import SQL  # noqa: F401
 from .token_files import token_files
 from .word_bpe import encode_documents
 
@@ -38,5 +39,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": lambda s, d: search_embeddings(_table(s, d, "embeddings")),
     "op10_html": lambda s, d: extract(_table(s, d, "pages")),
 }
-
-SQL: dict[str, str] = {}

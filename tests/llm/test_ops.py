@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import chat, html_text, neighbours, ngram_join, packing, quality_classifier, quality_rules, sharding, token_files, word_bpe
-from corvane.llm.catalogue import BYTE_BPE, QUERIES, WORD_BPE
+from corvane.llm.catalogue import BYTE_BPE, QUERIES, SQL, WORD_BPE
 from corvane.llm.byte_bpe import ByteBPE
 
 D = "/root/testdata/sf0.001"
@@ -314,3 +314,16 @@ def test_pipeline(spark):
     links = classes([(i, docs.text[i]) for i in kept])
     assert all(top == i for i, (_, top) in links.items())
     assert (out.groupby("doc_id").piece.max() + 1 == out.groupby("doc_id").size()).all()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    got, want = QUERIES[name](spark, D).toPandas(), c.execute(SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    key = want.columns[0]
+    pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True)[want.columns], want.sort_values(key, ignore_index=True), check_dtype=False)
