@@ -213,7 +213,9 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = stage(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = parsed.where(F.size("elements") > 0).select("row", "host", F.explode("elements").alias("e")).select("row", "host", "e.*")
     hits = spans.join(templates(parsed), ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    out = parsed.select("page_id", "url", "blocks", "row").join(hits, "row", "left")
+    # pages without subtrees that could be templates keep all blocks and stay where they are
+    rows = parsed.select("page_id", "url", "blocks", "row", (F.size("elements") > 0).alias("_some"))
+    out = rows.where("_some").join(hits, "row", "left").unionByName(rows.where("not _some").withColumn("gone", F.lit(None).cast(hits.schema["gone"].dataType)))
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i < g["last"]))))
     text = F.array_join(kept, "\n\n")
     return out.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
