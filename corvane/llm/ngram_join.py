@@ -30,6 +30,8 @@ SALT, POSITIONS, BLOCK = 50_000, 8, 1024
 #: Leader rounds end when comparing all pairs across components makes at most this many pairs a list entry, or after so many.
 PAIRS, ROUNDS = 4, 8
 TEXTS = 256
+#: Shingles in a block whose links are counted, and columns of differing shingles that are multiplied out at once.
+SHINGLES, COLUMNS = 1 << 19, 4096
 
 
 def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,20 +241,41 @@ def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, nea
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _whole_units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that end where a unit ends."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        if not len(t):
+            continue
+        key = [t.column(k).to_numpy() for k in keys]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def _unit_edges(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    new = np.r_[True, np.logical_or.reduce([np.diff(k) != 0 for k in keys])]
+    edges = np.r_[np.flatnonzero(new), len(keys[0])]
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of entries that share a list but no component and may link. Memory: a unit's two blocks and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
         def meet(t: pa.Table) -> pa.RecordBatch:
             col = {k: t.column(k).to_numpy() for k in ("token", "u", "v", "blk", "set_id", "n", "pos", "comp")}
             col["n"], col["pos"] = col["n"].astype(np.int64), col["pos"].astype(np.int64)
             col["sig"] = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
-            new = np.r_[True, (np.diff(col["token"]) != 0) | (np.diff(col["u"]) != 0) | (np.diff(col["v"]) != 0)]
-            edges = np.r_[np.flatnonzero(new), len(t)]
             found = []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
+            for i, j in _unit_edges(col["token"], col["u"], col["v"]):
                 g = {k: c[i:j] for k, c in col.items()}
                 if g["u"][0] == g["v"][0]:
                     found.append(_compare(g, g, True, nearest))
@@ -261,20 +284,8 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFram
                     found.append(_compare({k: c[left] for k, c in g.items()}, {k: c[~left] for k, c in g.items()}, False, nearest))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            if not len(t):
-                continue
-            key = [t.column(k).to_numpy() for k in ("token", "u", "v")]
-            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield meet(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and len(held):
-            yield meet(held)
+        for t in _whole_units(batches, ("token", "u", "v")):
+            yield meet(t)
 
     units = _units(entries, sets)
     keys = ["token", "u", "v"]
@@ -289,12 +300,72 @@ def _crossing(entries: DataFrame) -> tuple[int, int]:
     return int(got.m or 0), int(got.p or 0)
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right."""
+    sets, k = [*left, *right], len(left)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.full((k, len(right)), np.count_nonzero(times == len(sets)), np.int64)
+    some = (times > 1) & (times < len(sets))
+    keep = some[at]
+    row, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], (np.cumsum(some) - 1)[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col, width = row[order], col[order], int(some.sum())
+    for first in range(0, width, COLUMNS):
+        i, j = np.searchsorted(col, (first, first + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
+        part[row[i:j], col[i:j] - first] = 1
+        out += (part[:k] @ part[k:].T).astype(np.int64)
+    return out
 
-    Null or empty texts have no shingles and are linked with nothing. Repeated doc_ids are one document with several texts.
-    A null doc_id has a null component and links nothing.
-    """
+
+def _links(comps: DataFrame, sets: DataFrame, same: DataFrame, pairs: bool) -> DataFrame:
+    """All links: (a, b), or (set_id, n_links) with the number of other sets that each set links with, where it has any.
+    same: the sets that a doc_id joined, which may not link. Memory: a unit's two blocks, a batch and a matrix of a unit's pairs."""
+    joined = same.select(F.col("node").alias("set_id"), F.lit(True).alias("_same"))
+    nodes = comps.withColumnRenamed("node", "set_id").join(sets.select("set_id", "n"), "set_id").join(joined, "set_id", "left")
+    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"), F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.max("_same").alias("_same"))
+    sizes = stage(sizes.where("_m > 1"), "sizes")
+    two = (F.col("_m") == 2) & F.col("_same").isNull()
+    blocks = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_n") / SHINGLES)).cast("int")
+    rows = nodes.select("comp", "set_id").join(sizes.where(~two).select("comp", blocks.alias("_k")), "comp")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("set_id", F.lit(9)), "_k").cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    rows = rows.select("comp", F.least("blk", "_j").alias("u"), F.greatest("blk", "_j").alias("v"), "blk", "set_id").join(sets.select("set_id", "hashes"), "set_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_units(batches, ("comp", "u", "v")):
+            comp, u, v, blk, ids = (t.column(k).to_numpy() for k in ("comp", "u", "v", "blk", "set_id"))
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
+            for i, j in _unit_edges(comp, u, v):
+                one = u[i] == v[i]
+                x = np.arange(i, j) if one else i + np.flatnonzero(blk[i:j] == u[i])
+                y = x if one else i + np.flatnonzero(blk[i:j] != u[i])
+                if not len(x) or not len(y) or (one and len(x) == 1):
+                    continue
+                left, right = [hashes[k] for k in x], [hashes[k] for k in y]
+                shared = _shared(left, right)
+                both = np.array([len(h) for h in left])[:, None] + np.array([len(h) for h in right])[None, :]
+                ok = 100 * shared >= PERCENT * (both - shared)
+                if one:
+                    np.fill_diagonal(ok, False)
+                if pairs:
+                    p, q = np.nonzero(np.triu(ok) if one else ok)
+                    found = np.minimum(ids[x[p]], ids[y[q]]), np.maximum(ids[x[p]], ids[y[q]])
+                else:
+                    found = (ids[x], ok.sum(1)) if one else (np.r_[ids[x], ids[y]], np.r_[ok.sum(1), ok.sum(0)])
+                yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)) for f in found], list(names))
+
+    names = ("a", "b") if pairs else ("set_id", "n_links")
+    keys = ["comp", "u", "v"]
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{k} bigint" for k in names))
+    known = sizes.where(two)
+    if pairs:
+        return found.unionByName(known.select("a", "b"))
+    known = known.select(F.explode(F.array("a", "b")).alias("set_id"), F.lit(1).cast("bigint").alias("n_links"))
+    return found.unionByName(known).groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, sets, same, comps): the set of each row, contents of sets that may link, components by doc_id and by links."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scanned = stage(_scan(docs), "sets")
     counts = _summed(scanned.where(F.col("piece").isNotNull()).select("piece", "data"))
@@ -304,7 +375,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     lists = lists.where((F.col("_low") != F.col("_high")) | (F.col("salt") >= 0)).drop("_low", "_high").dropDuplicates(["token", "set_id"])
     lists = stage(lists, "lists")
     sets = stage(_contents(docs, lists.select("set_id").distinct()), "contents")
-    comps = _same_documents(members)
+    comps = same = _same_documents(members)
     before, stalled = 0, 0
     for turn in range(ROUNDS + 1):
         entries = lists.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
@@ -319,7 +390,30 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         comps = connected_components(stage(verified(stage(found, "pairs"), sets), "links"), comps)
         if last:
             break
-    return _labelled(members, comps)
+    return members, sets, same, comps
+
+
+def similarity_classes(docs: DataFrame, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs, and with ``links`` n_links: with how many other sets its set links.
+
+    Null or empty texts have no shingles and are linked with nothing. Repeated doc_ids are one document with several texts.
+    A null doc_id has a null component and links nothing.
+    """
+    members, sets, same, comps = _components(docs)
+    if not links:
+        return _labelled(members, comps).drop("n_links")
+    counts = stage(_links(comps, sets, same, False), "counts").withColumnRenamed("set_id", "node")
+    return _labelled(members, comps.join(counts, "node", "left"))
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b): every link between two different sets, each named by its smallest doc_id (null if it has none)."""
+    members, sets, same, comps = _components(docs)
+    names = stage(members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc")), "names")
+    found = stage(_links(comps, sets, same, True), "links")
+    for side in "ab":
+        found = found.join(names.select(F.col("set_id").alias(side), F.col("doc").alias(f"doc_{side}")), side)
+    return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
 
 
 def _same_documents(members: DataFrame) -> DataFrame:
@@ -330,20 +424,23 @@ def _same_documents(members: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    if "n_links" not in comps.columns:
+        comps = comps.withColumn("n_links", F.lit(None).cast("bigint"))
     own = members.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("_c", F.coalesce("comp", "set_id"))
-    own = stage(own.select("doc_id", "n", "set_id", "_c"), "labelled")
+    own = stage(own.select("doc_id", "n", "set_id", "_c", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labelled")
     full = own.where("n > 0")
     names = full.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    linked = full.join(names, "_c").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    linked = full.join(names, "_c").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "n_links")
     # a document that also has a text with shingles keeps that component for its empty row
-    empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    empty = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "n_links")
     held = linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    empty = empty.join(held, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    empty = empty.join(held, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
     return linked.unionByName(empty)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return similarity_classes(docs)
+    """op1: the classes of the whole join. Links are counted for every set; the contract's columns leave their number out."""
+    return stage(similarity_classes(docs, links=True), "joined").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

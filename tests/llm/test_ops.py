@@ -86,6 +86,31 @@ def test_join_matches_all_pairs(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
 
 
+def test_join_yields_all_links(spark, docs, monkeypatch):
+    """Every link between different sets, also within components whose pairs the leaders skip; small blocks, so that units have two."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rnd = random.Random(9)
+    rows = [(i, t) for i, t in zip(docs.doc_id.tolist(), docs.text.tolist()) if t][:60]
+    base = [f"w{i}" for i in range(200)]
+    for k in range(70):
+        w = list(base)
+        for _ in range(k // 14):
+            w[rnd.randrange(200)] = f"e{rnd.randrange(999)}"
+        rows.append((100_000 + k, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets.setdefault(frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)]), []).append(i)
+    keys = list(sets)
+    want = {tuple(sorted((min(sets[a]), min(sets[b])))) for k, a in enumerate(keys) for b in keys[:k] if a and b and 100 * len(a & b) >= 85 * len(a | b)}
+    assert len(want) > 200
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_a, r.doc_b) for r in ngram_join.links(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = {r.doc_id: r.n_links for r in ngram_join.similarity_classes(frame, links=True).collect()}
+    assert counts == {i: sum(min(ids) in p for p in want) for ids in sets.values() for i in ids}
+
+
 def test_join_on_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_classes(odd).collect()}
     assert got == {(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 2, None), (6, 1, 6), (7, 0, 7), (8, 1, 8)}
