@@ -1,5 +1,7 @@
 """Rules on text statistics and robust multivariate outliers per language and source. DataFrame functions only.
 
+A small group is held against its language, a small language against all rows, and few rows in all against PRIOR.
+
 Minimum covariance determinant: from coordinate-wise medians and median-like spreads, concentration steps keep the
 three quarters of a group's rows with the smallest Mahalanobis distance and estimate mean and covariance from them
 again. All estimates are mergeable aggregates, so a hot group is pre-aggregated in every task; the matrices are
@@ -18,12 +20,14 @@ from .common import SPACES, stage, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
-#: Share of a group's rows that the estimates rest on, concentration steps, and rows below which a group uses its language's estimate.
+#: Share of a group's rows that the estimates rest on, concentration steps, and rows below which a group uses the next wider estimate.
 SHARE, STEPS, LEAST = 0.75, 4, 60
 #: Chance that a clean Gaussian row is rejected.
 ALPHA = 1e-9
 #: Least standard deviation of each transformed statistic: many groups have no spread at all in some of them.
 FLOOR = (0.05, 0.15, 0.15, 0.1)
+#: Means and standard deviations of prose where there are under LEAST rows in all: wider than what sf0.001 and sf0.01 give over all rows.
+PRIOR = ((1.61, 0.15), (0.0, 0.2), (0.24, 0.2), (0.0, 0.12))
 DIM = len(FLOOR)
 X = [f"x{i}" for i in range(DIM)]
 PAIRS = list(combinations_with_replacement(range(DIM), 2))
@@ -125,10 +129,11 @@ def _factored(estimates: DataFrame, keys: list[str]) -> DataFrame:
 
 def fit(rows: DataFrame) -> DataFrame:
     """(lang, source, _p, _n) from rows with lang, source and x0..: one robust estimate for each pair that has LEAST rows,
-    and one a language (source null) for the rest. rows must be cheap to read again."""
-    # null keys are groups of their own; the marks keep them apart from the language-wide estimate
-    keyed = rows.select(_key("lang").alias("_l"), _key("source").alias("_g"), *X)
-    both = keyed.unionByName(keyed.withColumn("_g", F.lit("*")))
+    one a language (_g "*") and one over all rows (_l "*" too) for the rest. rows must be cheap to read again."""
+    # null keys are groups of their own; the marks keep them apart from the wider estimates
+    keyed = rows.select(_key("lang").alias("_l"), _key("source").alias("_g"), F.lit("*").alias("_all"), *X)
+    both = keyed.withColumn("_k", F.explode(F.array(*[F.struct(F.col(a).alias("_l"), F.col(b).alias("_g")) for a, b in (("_l", "_g"), ("_l", "_all"), ("_all", "_all"))])))
+    both = both.select("_k.*", *X)
     keys = ["_l", "_g"]
     start = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
     spread = {f"c{i}{j}": (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) / CONSISTENT if i == j else F.lit(0.0)) for j, i in PAIRS}
@@ -137,7 +142,7 @@ def fit(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = both.join(params, keys).withColumn("_d", distance())
         cut = far.groupBy(*keys).agg(F.percentile_approx("_d", SHARE, 1000).alias("_cut"))
-        core = far.select(*keys, "_n", "_d", *X).join(cut, keys).where(F.col("_d") <= F.col("_cut"))
+        core = far.select(*keys, "_n", "_d", *X).join(F.broadcast(cut), keys).where(F.col("_d") <= F.col("_cut"))
         sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for j, i in PAIRS]
         params = stage(_factored(core.groupBy(*keys).agg(F.max("_n").alias("_n"), *sums), keys), "mcd")
     return params
@@ -148,15 +153,17 @@ def _key(name: str) -> Column:
 
 
 def judge(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """rows plus mahalanobis2 and kept; a language with fewer than LEAST rows rejects nothing by distance."""
+    """rows plus mahalanobis2 and kept, by the narrowest estimate that rests on LEAST rows, or else by PRIOR."""
     own = params.where(F.col("_g") != "*").select("_l", "_g", F.col("_p").alias("_own"))
-    wide = params.where((F.col("_g") == "*") & (F.col("_n") >= LEAST)).select("_l", F.col("_p").alias("_wide"))
+    wide = params.where((F.col("_g") == "*") & (F.col("_l") != "*") & (F.col("_n") >= LEAST)).select("_l", F.col("_p").alias("_wide"))
+    every = params.where((F.col("_l") == "*") & (F.col("_n") >= LEAST)).select(F.col("_p").alias("_every"))
+    prior = F.struct(*[F.lit(m).alias(f"m{i}") for i, (m, _) in enumerate(PRIOR)], *[F.lit(PRIOR[i][1] if i == j else 0.0).alias(f"l{i}{j}") for j, i in PAIRS])
     keyed = rows.withColumns({"_l": _key("lang"), "_g": _key("source")})
     # both tables hold a row a group; the optimizer broadcasts them while they are below its threshold
-    joined = keyed.join(own, ["_l", "_g"], "left").join(wide, "_l", "left").withColumn("_p", F.coalesce("_own", "_wide"))
+    joined = keyed.join(own, ["_l", "_g"], "left").join(wide, "_l", "left").join(F.broadcast(every), F.lit(True), "left")
+    joined = joined.withColumn("_p", F.coalesce("_own", "_wide", "_every", prior))
     d = distance()
-    ok = F.coalesce(d <= CUTOFF, F.lit(True))
-    return joined.withColumns({"mahalanobis2": d, "kept": ~F.col("base_failed") & ok}).drop("_l", "_g", "_own", "_wide", "_p")
+    return joined.withColumns({"mahalanobis2": d, "kept": ~F.col("base_failed") & (d <= CUTOFF)}).drop("_l", "_g", "_own", "_wide", "_every", "_p")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

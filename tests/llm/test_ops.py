@@ -199,6 +199,19 @@ def test_robust_estimates_find_planted_outliers(spark):
     assert abs(m.m0) < 0.15 and 0.8 < m.l00 < 1.25
 
 
+def test_small_languages_get_a_verdict(spark, docs):
+    """A language under LEAST rows is held against all rows, and a few rows in all against the prior."""
+    got = {r.doc_id: r for r in QUERIES["op3_quality_rules"](spark, D).collect()}
+    assert all(r.mahalanobis2 is not None for r in got.values()) and not any(got[i].kept for i in (83, 148, 179))
+    labels = pd.read_parquet(f"{D}/labels.parquet")
+    small = set(docs[docs.lang.isin(["de", "fr", "es"])].doc_id) & set(labels[labels.quality == 1].doc_id)
+    assert len(small) > 15 and all(got[i].kept or got[i].base_failed for i in small)
+    soup = docs.set_index("doc_id").text[179]
+    clean = [t for i, t in zip(docs.doc_id, docs.text) if i in small and got[i].kept][:5]
+    few = spark.createDataFrame([(i, t, None, "a") for i, t in enumerate([soup, *clean])], "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id: r.kept for r in quality_rules.quality_rules(few).collect()} == {0: False, 1: True, 2: True, 3: True, 4: True, 5: True}
+
+
 def test_quality_classifier(spark, odd, empty):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op4_quality_classifier"](spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
