@@ -8,6 +8,9 @@ from corvane.llm import ngram_join, packing, quality_classifier, quality_rules
 from corvane.llm.catalogue import BYTE_BPE
 from corvane.llm.common import documents, scratch_path
 
+#: Words in a shingle and least Jaccard similarity, in percent, of near duplicates; op1's contract sets other values for op1 alone.
+WIDTH, PERCENT = 5, 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
@@ -21,7 +24,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays."""
-    return ngram_join.keep_one_of_each(docs)
+    return ngram_join.keep_one_of_each(docs, WIDTH, PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from .common import stage
 from .components import connected_components
 from .shingles import set_id, sets_of
 
+#: Words in a shingle and least Jaccard similarity of op1, which its contract fixes.
 WIDTH, PERCENT = 4, 85
 #: Counters of the shingle sketch (a power of two), counters in a piece of it, and bits of a set's parity signature.
 SKETCH, PIECE, SIGNATURE = 1 << 20, 1 << 16, 1024
@@ -73,7 +74,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list]]:
         yield at, texts[at : at + TEXTS]
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, width: int) -> DataFrame:
     """One pass: a row a document (n, set_id) and, from each task, its shingle counts."""
     kind = "doc_id bigint, n bigint, set_id bigint, piece int, data binary"
 
@@ -82,7 +83,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         for b in batches:
             n, ids = [], []
             for _, texts in _chunks(b.column(1)):
-                sets = list(sets_of(texts, WIDTH))
+                sets = list(sets_of(texts, width))
                 n += map(len, sets)
                 ids += map(set_id, sets)
                 counts += np.bincount(_counter(np.concatenate(sets)), minlength=SKETCH).astype(np.uint64)
@@ -95,12 +96,12 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def least_overlap(a: Column, b: Column) -> Column:
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
     """Shared shingles that two sets of these sizes need."""
-    return F.ceil((a + b) * PERCENT / (100 + PERCENT) - 1e-9)
+    return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
 
 
-def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """(token, salt, set_id, n, pos): the prefix of each set, once a task."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
     mean = int(counts.mean())
@@ -110,12 +111,12 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for b in batches:
             for _, texts in _chunks(b.column(0)):
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                for s in sets_of(texts, WIDTH):
+                for s in sets_of(texts, width):
                     if not len(s) or (one := set_id(s)) in seen:
                         continue
                     seen.add(one)
                     n = len(s)
-                    k = n - (PERCENT * n + 99) // 100 + 1
+                    k = n - (percent * n + 99) // 100 + 1
                     c = order[_counter(s)]
                     rare = np.lexsort((s, c))[:k]
                     salts = 1 + np.maximum(c[rare].astype(np.int64) - 2 * mean, 0) // SALT
@@ -130,7 +131,7 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token bigint, salt bigint, set_id bigint, n int, pos int")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(set_id, n, sig, hashes) of the wanted sets. A fixed-size filter of their ids thins the scan, the join makes it exact."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             for _, texts in _chunks(b.column(0)):
                 cols: list[list] = [[], [], [], []]
-                for s in sets_of(texts, WIDTH):
+                for s in sets_of(texts, width):
                     if not len(s) or (one := set_id(s)) in seen or not wanted_bits[one & (SKETCH - 1)]:
                         continue
                     seen.add(one)
@@ -164,12 +165,12 @@ def _side(sets: DataFrame, name: str, column: str) -> DataFrame:
     return sets.select(F.col("set_id").alias(name), F.col("n").alias(f"n{name}"), F.col(column).alias(f"{column}_{name}"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. The signatures' differing bits bound the symmetric difference from below."""
     near = pairs.join(_side(sets, "a", "sig"), "a").join(_side(sets, "b", "sig"), "b")
     bits = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    most = F.col("na") + F.col("nb") - 2 * least_overlap(F.col("na"), F.col("nb"))
-    near = near.where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (bits <= most)).select("a", "b")
+    most = F.col("na") + F.col("nb") - 2 * least_overlap(F.col("na"), F.col("nb"), percent)
+    near = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits <= most)).select("a", "b")
     whole = near.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +179,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
+                ok.append(100 * shared >= percent * (len(u) + len(v) - shared))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return whole.mapInArrow(run, "a bigint, b bigint")
 
 
-def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
+def _leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each entry with its list's leader, where these are not one component yet."""
     key = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("h"), "set_id", "n", "comp")
     led = entries.withColumn("lead", F.min(key).over(Window.partitionBy("token", "salt")))
-    led = led.where((F.col("lead.comp") != F.col("comp")) & (100 * F.least("n", "lead.n") >= PERCENT * F.greatest("n", "lead.n")))
+    led = led.where((F.col("lead.comp") != F.col("comp")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
     return led.select(F.least("set_id", "lead.set_id").alias("a"), F.greatest("set_id", "lead.set_id").alias("b")).distinct()
 
 
@@ -202,7 +203,7 @@ def _units(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("token", F.least("blk", "_j").alias("u"), F.greatest("blk", "_j").alias("v"), "blk", "set_id", "n", "pos", "comp", "sig")
 
 
-def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, nearest: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs across components that size, position and signatures leave; with ``nearest`` only the likeliest partner of each x.
     y is ordered by position block; whole blocks whose best remaining length is below what x needs are skipped."""
     firsts, seconds = [], []
@@ -212,12 +213,12 @@ def _compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, nea
     starts = np.flatnonzero(np.r_[True, np.diff(y["pos"] // POSITIONS) != 0])
     best, ends = np.maximum.reduceat(rest, starts), np.r_[starts[1:], len(rest)]
     for one, n, pos, comp, sig in zip(x["set_id"], x["n"], x["pos"], x["comp"], x["sig"]):
-        least, likeliest = -(-PERCENT * n // 100), None
+        least, likeliest = -(-percent * n // 100), None
         for i in np.flatnonzero(best >= least):
             s = slice(starts[i], ends[i])
             m = y["n"][s]
-            need = -(-PERCENT * (n + m) // (100 + PERCENT))
-            ok = (y["comp"][s] != comp) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - pos, rest[s]) >= need)
+            need = -(-percent * (n + m) // (100 + percent))
+            ok = (y["comp"][s] != comp) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - pos, rest[s]) >= need)
             if same and not nearest:
                 ok &= y["set_id"][s] > one
             at = np.flatnonzero(ok)
@@ -266,7 +267,7 @@ def _unit_edges(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of entries that share a list but no component and may link. Memory: a unit's two blocks and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +279,10 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFram
             for i, j in _unit_edges(col["token"], col["u"], col["v"]):
                 g = {k: c[i:j] for k, c in col.items()}
                 if g["u"][0] == g["v"][0]:
-                    found.append(_compare(g, g, True, nearest))
+                    found.append(_compare(g, g, True, nearest, percent))
                 else:
                     left = g["blk"] == g["u"][0]
-                    found.append(_compare({k: c[left] for k, c in g.items()}, {k: c[~left] for k, c in g.items()}, False, nearest))
+                    found.append(_compare({k: c[left] for k, c in g.items()}, {k: c[~left] for k, c in g.items()}, False, nearest, percent))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
 
         for t in _whole_units(batches, ("token", "u", "v")):
@@ -318,7 +319,7 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(comps: DataFrame, sets: DataFrame, same: DataFrame, pairs: bool) -> DataFrame:
+def _links(comps: DataFrame, sets: DataFrame, same: DataFrame, pairs: bool, percent: int) -> DataFrame:
     """All links: (a, b), or (set_id, n_links) with the number of other sets that each set links with, where it has any.
     same: the sets that a doc_id joined, which may not link. Memory: a unit's two blocks, a batch and a matrix of a unit's pairs."""
     joined = same.select(F.col("node").alias("set_id"), F.lit(True).alias("_same"))
@@ -344,7 +345,7 @@ def _links(comps: DataFrame, sets: DataFrame, same: DataFrame, pairs: bool) -> D
                 left, right = [hashes[k] for k in x], [hashes[k] for k in y]
                 shared = _shared(left, right)
                 both = np.array([len(h) for h in left])[:, None] + np.array([len(h) for h in right])[None, :]
-                ok = 100 * shared >= PERCENT * (both - shared)
+                ok = 100 * shared >= percent * (both - shared)
                 if one:
                     np.fill_diagonal(ok, False)
                 if pairs:
@@ -364,17 +365,17 @@ def _links(comps: DataFrame, sets: DataFrame, same: DataFrame, pairs: bool) -> D
     return found.unionByName(known).groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
 
 
-def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(members, sets, same, comps): the set of each row, contents of sets that may link, components by doc_id and by links."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    scanned = stage(_scan(docs), "sets")
+    scanned = stage(_scan(docs, width), "sets")
     counts = _summed(scanned.where(F.col("piece").isNotNull()).select("piece", "data"))
     members = scanned.where(F.col("piece").isNull()).select("doc_id", "n", "set_id")
     w = Window.partitionBy("token", "salt")
-    lists = _postings(docs, counts).withColumns({"_low": F.min("set_id").over(w), "_high": F.max("set_id").over(w)})
+    lists = _postings(docs, counts, width, percent).withColumns({"_low": F.min("set_id").over(w), "_high": F.max("set_id").over(w)})
     lists = lists.where((F.col("_low") != F.col("_high")) | (F.col("salt") >= 0)).drop("_low", "_high").dropDuplicates(["token", "set_id"])
     lists = stage(lists, "lists")
-    sets = stage(_contents(docs, lists.select("set_id").distinct()), "contents")
+    sets = stage(_contents(docs, lists.select("set_id").distinct(), width), "contents")
     comps = same = _same_documents(members)
     before, stalled = 0, 0
     for turn in range(ROUNDS + 1):
@@ -386,31 +387,31 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
         stalled += bool(stalled) or (turn > 0 and 2 * pairs > before)
         last = turn == ROUNDS or stalled > 2 or (turn > 0 and pairs <= PAIRS * size)
         before = pairs
-        found = _cross_pairs(entries, sets, not last) if last or stalled else _leader_pairs(entries, turn)
-        comps = connected_components(stage(verified(stage(found, "pairs"), sets), "links"), comps)
+        found = _cross_pairs(entries, sets, not last, percent) if last or stalled else _leader_pairs(entries, turn, percent)
+        comps = connected_components(stage(verified(stage(found, "pairs"), sets, percent), "links"), comps)
         if last:
             break
     return members, sets, same, comps
 
 
-def similarity_classes(docs: DataFrame, links: bool = False) -> DataFrame:
+def similarity_classes(docs: DataFrame, links: bool = False, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs, and with ``links`` n_links: with how many other sets its set links.
 
     Null or empty texts have no shingles and are linked with nothing. Repeated doc_ids are one document with several texts.
     A null doc_id has a null component and links nothing.
     """
-    members, sets, same, comps = _components(docs)
+    members, sets, same, comps = _components(docs, width, percent)
     if not links:
         return _labelled(members, comps).drop("n_links")
-    counts = stage(_links(comps, sets, same, False), "counts").withColumnRenamed("set_id", "node")
+    counts = stage(_links(comps, sets, same, False, percent), "counts").withColumnRenamed("set_id", "node")
     return _labelled(members, comps.join(counts, "node", "left"))
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_a, doc_b): every link between two different sets, each named by its smallest doc_id (null if it has none)."""
-    members, sets, same, comps = _components(docs)
+    members, sets, same, comps = _components(docs, width, percent)
     names = stage(members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc")), "names")
-    found = stage(_links(comps, sets, same, True), "links")
+    found = stage(_links(comps, sets, same, True, percent), "links")
     for side in "ab":
         found = found.join(names.select(F.col("set_id").alias(side), F.col("doc").alias(f"doc_{side}")), side)
     return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
@@ -443,10 +444,10 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return stage(similarity_classes(docs, links=True), "joined").select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Rows with a null doc_id stay."""
     names = docs.columns
-    found = stage(similarity_classes(docs), "classes")
+    found = stage(similarity_classes(docs, width=width, percent=percent), "classes")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*names)
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")

@@ -111,6 +111,26 @@ def test_join_yields_all_links(spark, docs, monkeypatch):
     assert counts == {i: sum(min(ids) in p for p in want) for ids in sets.values() for i in ids}
 
 
+def test_pipeline_takes_five_words_at_80_percent(spark):
+    """Scattered edits that leave 0.80 of 5-word shingles but under 0.85 of 4-word ones; op1 keeps its own values."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(340)]
+    edited = [f"e{i}" if i % 47 == 20 else w for i, w in enumerate(base)]
+    appended = base[:336] + [f"x{i}" for i in range(70)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(appended)), (4, " ".join(base[:250]))]
+
+    def jaccard(a, b, k):
+        x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert [jaccard(rows[0][1], rows[i][1], 5) >= 0.8 for i in (1, 2, 3)] == [True, True, False]
+    assert [jaccard(rows[0][1], rows[i][1], 4) >= 0.85 for i in (1, 2, 3)] == [False, False, False]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, frame, D).collect()} == {1, 4}
+    assert {r.doc_id for r in ngram_join.keep_one_of_each(frame).collect()} == {1, 2, 3, 4}
+
+
 def test_join_on_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_classes(odd).collect()}
     assert got == {(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 2, None), (6, 1, 6), (7, 0, 7), (8, 1, 8)}
