@@ -27,7 +27,6 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[a-z0-9]+")
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split()
@@ -44,6 +43,9 @@ _NAMES = frozenset(
     "overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments "
     "commentlist respond disqus replies share sharing social related recommended recommendations widget toolbar copyright masthead".split()
 )
+#: What a class or id may have before or after a name of _NAMES, with a hyphen between, and still be one: site-footer, related-posts.
+_BEFORE = frozenset("site page main top bottom global primary secondary post article entry blog wp js cookie social user".split())
+_AFTER = frozenset("bar box list link links button buttons banner wrapper container section area menu widget form block popup overlay modal unit slot posts articles stories".split())
 #: Inside the article only these can be templates: a paragraph or heading that recurs is still text.
 _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
 #: Start tags that end an open element of the same kind.
@@ -51,9 +53,20 @@ _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("opti
 _STOP = {"li": frozenset(("ul", "ol", "menu")), "dd": frozenset(("dl",)), "dt": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether one of the names in a class or id is, as a whole, one of boilerplate."""
+    for name in value.strip("\"'").lower().replace("_", "-").split():
+        first, _, last = name.partition("-")
+        if name in _NAMES or (first in _NAMES and last in _AFTER) or (first in _BEFORE and last in _NAMES):
+            return True
+    return False
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool | None:
+    """True for boilerplate by tag, role or hiding; None by class or id alone, which holds only for elements without an article."""
     if tag in _DROP or (tag == "header" and not in_article):
         return True
+    named = False
     if not attrs or attrs.isspace() or tag in ("html", "body", "main"):
         return False
     for name, value in _ATTR.findall(attrs):
@@ -61,28 +74,29 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         if name == "hidden":
             return True
         if name in ("class", "id"):
-            if not _NAMES.isdisjoint(_NAME.findall(value.lower())):
-                return True
+            named = named or (tag != "article" and _named(value))
         elif name == "role":
             if value.strip("\"' ").lower() in _ROLES:
                 return True
         elif name == "aria-hidden" and value.strip("\"' ").lower() == "true":
             return True
-    return False
+    return None if named else False
 
 
 class _Open:
-    __slots__ = ("tag", "start", "drop", "article", "first")
+    __slots__ = ("tag", "start", "drop", "article", "first", "named")
 
-    def __init__(self, tag: str, start: int, drop: bool, article: bool, first: int):
-        self.tag, self.start, self.drop, self.article, self.first = tag, start, drop, article, first
+    def __init__(self, tag: str, start: int, drop: bool, article: bool, first: int, named: int):
+        self.tag, self.start, self.drop, self.article, self.first, self.named = tag, start, drop, article, first, named
 
 
 def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
     """(blocks, elements): the blocks of text that can be main text, in page order, and (hash, first block, last block + 1)
-    of the element subtrees around them. If the page has an article or main element, only what is inside counts."""
+    of the element subtrees around them. If articles and main elements hold at least half of the text, only what is inside counts."""
     page = page or ""
-    blocks: list[tuple[str, bool]] = []
+    blocks: list[tuple[str, bool, int]] = []
+    # elements named like boilerplate: the one around each (0 for none), and whether an article was found inside
+    around, holds = [0], [True]
     elements: list[tuple[int, int, int, bool]] = []
     stack: list[_Open] = []
     pieces: list[str] = []
@@ -93,7 +107,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                blocks.append((text, inside))
+                blocks.append((text, inside, stack[-1].named if stack else 0))
 
     def pop(to: int, end: int) -> None:
         nonlocal inside
@@ -129,6 +143,8 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
                     else:
                         # an inline element closes only itself, if no block stands between
                         if not any(s.tag in _BLOCK for s in stack[i + 1 :]):
+                            if stack[-1].named != (stack[i - 1].named if i else 0):
+                                flush()
                             del stack[i:]
                     break
             continue
@@ -161,23 +177,38 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
                 continue
         if attrs.endswith("/") and tag not in _BLOCK:
             continue
-        drop = dropped or _boilerplate(tag, attrs, article)
-        if drop and not dropped:
+        kind = dropped or _boilerplate(tag, attrs, article)
+        drop, named = bool(kind), stack[-1].named if stack else 0
+        if (drop and not dropped) or kind is None:
             flush()
+        if kind is None:
+            around.append(named)
+            holds.append(False)
+            named = len(holds) - 1
+        elif tag in ("article", "main") and not drop:
+            i = named
+            while i and not holds[i]:
+                holds[i], i = True, around[i]
         inside = article or (tag in ("article", "main") and not drop)
-        if tag in _BLOCK or drop:
-            stack.append(_Open(tag, m.start(), drop, inside, len(blocks)))
+        if tag in _BLOCK or drop or kind is None:
+            stack.append(_Open(tag, m.start(), drop, inside, len(blocks), named))
         elif len(stack) < 512:
-            stack.append(_Open(tag, m.start(), drop, inside, len(blocks)))
+            stack.append(_Open(tag, m.start(), drop, inside, len(blocks), named))
     pop(0, size)
-    if any(b[1] for b in blocks):
-        kept, place = [], [0]
-        for text, ok in blocks:
-            if ok:
-                kept.append(text)
-            place.append(len(kept))
-        return kept, [(h, place[a], place[b]) for h, a, b, article in elements if article and place[b] > place[a]]
-    return [b[0] for b in blocks], [(h, a, b) for h, a, b, _ in elements]
+    good = [True]
+    for i in range(1, len(holds)):
+        good.append(holds[i] and good[around[i]])
+    sizes = [0, 0]
+    for text, ok, named in blocks:
+        if good[named]:
+            sizes[ok] += len(text)
+    only = sizes[1] >= sizes[0] and sizes[1] > 0
+    kept, place = [], [0]
+    for text, ok, named in blocks:
+        if good[named] and (ok or not only):
+            kept.append(text)
+        place.append(len(kept))
+    return kept, [(h, place[a], place[b]) for h, a, b, article in elements if (article or not only) and place[b] > place[a]]
 
 
 def host_of(url):

@@ -350,6 +350,18 @@ def test_html_parsing():
     assert parse("<article><p><b>a<p>b</article>c") == "a\n\nb"
 
 
+def test_class_names_take_no_main_text():
+    parse = lambda s: "\n\n".join(html_text.parse(s)[0])
+    for page in (
+        "<article class='post comments-open'><p>own text</p></article>", "<div class='layout has-sidebar'><p>own text</p></div>", "<article class='post tag-social'><p>own text</p></article>",
+        "<section id='sharing-economy'><p>own text</p></section>", "<article class='comment'><p>own text</p></article>", "<div class='widget'><article><p>own text</p></article></div>",
+        "<div class='sidebar'><div class='menu'>own text<main></main></div></div>", "<p>own</p><p class=ad>x</p> <span class='share'>y</span><p>text</p>",
+    ):
+        assert parse(page).split() == ["own", "text"], page
+    assert parse("<div><p>long own text of the page</p><div><article><p>card</p></article></div></div>") == "long own text of the page\n\ncard"
+    assert parse("<article><p>own text</p><div class='related_posts'>r</div><div class='x site-footer'>f</div><div id='comments-section'>c</div></article>") == "own text"
+
+
 def test_site_templates_go(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format(h=i % 2, body=f"<p>own {i}</p>")) for i in range(12)] + [(90, None, None), (91, "", ""), (92, "http://z.org/", "<p>join us</p>")]
     rows += [(100 + i, "http://copy.org/a", "<p>same text</p>") for i in range(9)]
