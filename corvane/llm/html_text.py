@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: A subtree is a template if it recurs on this many pages of different text, and on this share of its host's pages.
-LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: A subtree is a template if it recurs on so many of its host's pages of different text: the first number at least, and
+#: beyond that this share of the pages or the last number, whichever is less, so that large hosts need no more than that.
+COUNTS = (3, 0.2, 50)
+#: The same for paragraphs, headings and quotations inside an article, where a text that recurs now and then is still text.
+TEXT_COUNTS = (20, 0.5, 250)
 
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -46,7 +49,7 @@ _NAMES = frozenset(
 #: What a class or id may have before or after a name of _NAMES, with a hyphen between, and still be one: site-footer, related-posts.
 _BEFORE = frozenset("site page main top bottom global primary secondary post article entry blog wp js cookie social user".split())
 _AFTER = frozenset("bar box list link links button buttons banner wrapper container section area menu widget form block popup overlay modal unit slot posts articles stories".split())
-#: Inside the article only these can be templates: a paragraph or heading that recurs is still text.
+#: Inside the article all blocks but these need TEXT_COUNTS.
 _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
 #: Start tags that end an open element of the same kind.
 _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -90,14 +93,14 @@ class _Open:
         self.tag, self.start, self.drop, self.article, self.first, self.named = tag, start, drop, article, first, named
 
 
-def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """(blocks, elements): the blocks of text that can be main text, in page order, and (hash, first block, last block + 1)
-    of the element subtrees around them. If articles and main elements hold at least half of the text, only what is inside counts."""
+def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+    """(blocks, elements): the blocks of text that can be main text, in page order, and (hash, first block, last block + 1,
+    whether it is text of an article) of the element subtrees around them. If articles and main elements hold at least half of the text, only what is inside counts."""
     page = page or ""
     blocks: list[tuple[str, bool, int]] = []
     # elements named like boilerplate: the one around each (0 for none), and whether an article was found inside
     around, holds = [0], [True]
-    elements: list[tuple[int, int, int, bool]] = []
+    elements: list[tuple[int, int, int, bool, bool]] = []
     stack: list[_Open] = []
     pieces: list[str] = []
     inside = False
@@ -114,8 +117,8 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
         flush()
         while len(stack) > to:
             e = stack.pop()
-            if not e.drop and len(blocks) > e.first and e.tag not in ("html", "body", "article", "main") and (not e.article or e.tag in _CONTAINERS):
-                elements.append((xxhash.xxh3_64_intdigest(page[e.start : end].encode("utf-8", "surrogatepass")) - (1 << 63), e.first, len(blocks), e.article))
+            if not e.drop and len(blocks) > e.first and e.tag not in ("html", "body", "article", "main") and (not e.article or e.tag in _BLOCK):
+                elements.append((xxhash.xxh3_64_intdigest(page[e.start : end].encode("utf-8", "surrogatepass")) - (1 << 63), e.first, len(blocks), e.article, e.article and e.tag not in _CONTAINERS))
         inside = bool(stack) and stack[-1].article
 
     at, size = 0, len(page)
@@ -208,7 +211,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
         if good[named] and (ok or not only):
             kept.append(text)
         place.append(len(kept))
-    return kept, [(h, place[a], place[b]) for h, a, b, article in elements if (article or not only) and place[b] > place[a]]
+    return kept, [(h, place[a], place[b], text) for h, a, b, article, text in elements if (article or not only) and place[b] > place[a]]
 
 
 def host_of(url):
@@ -219,31 +222,33 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, host, blocks, elements, print (hash of the text) of every page, with a row number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.bool_())]))
         for b in batches:
             found = [parse(p) for p in b.column(3).to_pylist()]
             blocks = pa.array([x[0] for x in found], pa.list_(pa.string()))
-            spans = pa.array([[{"hash": h, "first": i, "last": j} for h, i, j in x[1]] for x in found], kind)
+            spans = pa.array([[{"hash": h, "first": i, "last": j, "text": t} for h, i, j, t in x[1]] for x in found], kind)
             prints = pa.array([xxhash.xxh3_64_intdigest("\n".join(x[0]).encode("utf-8", "surrogatepass")) - (1 << 63) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], blocks, spans, prints], ["page_id", "url", "host", "blocks", "elements", "print"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
-    return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<string>, elements array<struct<hash:bigint,first:int,last:int>>, print bigint")
+    return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<string>, elements array<struct<hash:bigint,first:int,last:int,text:boolean>>, print bigint")
 
 
-def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash) of subtrees that recur; copies of one page count once."""
+def templates(parsed: DataFrame, counts: tuple[int, float, int] = COUNTS, text_counts: tuple[int, float, int] = TEXT_COUNTS) -> DataFrame:
+    """(host, hash, text) of subtrees that recur; copies of one page count once."""
     pages = parsed.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    spans = parsed.where(F.size("elements") > 0).select("host", "print", F.explode(F.array_distinct("elements.hash")).alias("hash"))
-    often = spans.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    return often.join(pages, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+    kinds = F.array_distinct(F.transform("elements", lambda e: F.struct(e["hash"].alias("hash"), e["text"].alias("text"))))
+    spans = parsed.where(F.size("elements") > 0).select("host", "print", F.explode(kinds).alias("e")).select("host", "print", "e.*")
+    often = spans.distinct().groupBy("host", "hash", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(counts[0], text_counts[0]))
+    least = lambda c: F.greatest(F.lit(float(c[0])), F.least(F.lit(float(c[2])), c[1] * F.col("pages")))
+    return often.join(pages, "host").where(F.col("n") >= F.when(F.col("text"), least(text_counts)).otherwise(least(counts))).select("host", "hash", "text")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """op10: page_id, url, text, n_chars of every row; null or empty html gives an empty text. Repeated rows stay."""
     parsed = stage(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = parsed.where(F.size("elements") > 0).select("row", "host", F.explode("elements").alias("e")).select("row", "host", "e.*")
-    hits = spans.join(templates(parsed), ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    hits = spans.join(templates(parsed), ["host", "hash", "text"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
     # pages without subtrees that could be templates keep all blocks and stay where they are
     rows = parsed.select("page_id", "url", "blocks", "row", (F.size("elements") > 0).alias("_some"))
     out = rows.where("_some").join(hits, "row", "left").unionByName(rows.where("not _some").withColumn("gone", F.lit(None).cast(hits.schema["gone"].dataType)))

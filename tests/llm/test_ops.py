@@ -371,6 +371,16 @@ def test_site_templates_go(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_templates_of_large_hosts_and_articles(spark):
+    """A menu on 60 of 400 pages goes; a notice on all pages of an article host goes, a paragraph on some of them stays."""
+    menu = "<div class='x'>section menu<p>of the host</p></div>"
+    rows = [(i, f"http://big.org/{i}", f"{menu if i < 60 else ''}<p>own {i}</p>") for i in range(400)]
+    rows += [(1000 + i, "http://art.org/", f"<article><h2>Part of a series</h2><p>own {i}</p>{'<p>quoted now and then</p>' if i < 8 else ''}<blockquote>notice to all</blockquote></article>") for i in range(24)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"own {i}" for i in range(400))
+    assert all(got[1000 + i] == f"own {i}" + ("\n\nquoted now and then" if i < 8 else "") for i in range(24))
+
+
 def test_pipeline(spark):
     """run() against its operators' own answers, stage by stage, and a plain recount of what must hold."""
     import corpus_pipeline
