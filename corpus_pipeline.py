@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_join", deduplicate), ("packing", pack)]
 
-#: The classifier, the robust estimates and the packing are iterative; tests hold run() against a plain Python version.
+#: The classifier, the robust estimates and the packing are iterative; a test recomputes every stage plainly, but for the classifier's verdicts, which are op4's.
 ORACLE_SQL = None
 
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corvane.llm import chat, html_text, neighbours, ngram_join, packing, quality_classifier, quality_rules, sharding, token_files, word_bpe
@@ -396,6 +398,73 @@ def test_pipeline(spark):
     assert (out.groupby("doc_id").piece.max() + 1 == out.groupby("doc_id").size()).all()
 
 
+def plain_verdicts(rows):
+    """doc_ids that base rules and robust distance keep, from (doc_id, text, lang, source), with numpy alone."""
+    q, x = quality_rules, {}
+    for doc_id, text, _, _ in rows:
+        n, c, symbols, _, repeat = plain_statistics(text)
+        if n >= 20 and 100 * repeat <= 30 * n:
+            upper = sum(unicodedata.category(ch) == "Lu" for ch in text)
+            x[doc_id] = [np.log((c + 500) / (n + 100)), np.arcsinh(symbols * 50 / (c + 500)), np.arcsinh(upper * 20 / (c + 500)), np.sqrt(repeat / (n + 20))]
+    ids = [r for r in rows if r[0] in x]
+    at = lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
+
+    def estimate(v):
+        mean, cov = at(v, 0.5), np.diag(((at(v, 0.75) - at(v, 0.25)) / 1.349) ** 2 / q.CONSISTENT)
+        for _ in range(q.STEPS + 1):
+            inverse = np.linalg.inv(cov * q.CONSISTENT + np.diag(q.FLOOR) ** 2)
+            far = lambda w, m=mean, i=inverse: np.einsum("ij,jk,ik->i", w - m, i, w - m)
+            core = v[far(v) <= at(far(v), q.SHARE)]
+            mean, cov = core.mean(0), np.cov(core.T, bias=True)
+        return far
+
+    kept, seen = set(), {}
+    for doc_id, _, lang, source in ids:
+        for group in ([r for r in ids if r[2:] == (lang, source)], [r for r in ids if r[2] == lang], ids):
+            if len(group) >= q.LEAST:
+                break
+        key = tuple(r[0] for r in group)
+        if key not in seen:
+            seen[key] = estimate(np.array([x[i] for i in key]))
+        if seen[key](np.array([x[doc_id]]))[0] <= q.CUTOFF:
+            kept.add(doc_id)
+    return kept
+
+
+def test_pipeline_stages_exactly(spark, byte_ids, monkeypatch):
+    """The set of documents after each stage, and the pieces, recomputed plainly; only the classifier's verdicts are op4's."""
+    import corpus_pipeline
+
+    seen = []
+
+    def recording(stage):
+        return lambda s, docs, d: seen.append(sorted(r.doc_id for r in docs.select("doc_id").collect())) or stage(s, docs, d)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, recording(f)) for n, f in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, D).toPandas()
+    docs = pd.read_parquet(f"{D}/documents.parquet")
+    rows = list(docs[["doc_id", "text", "lang", "source"]].itertuples(index=False, name=None))
+    good = {r.doc_id for r in QUERIES["op4_quality_classifier"](spark, D).where("predicted = 1").collect()}
+    assert seen[0] == sorted(docs.doc_id) and seen[1] == sorted(good)
+    ruled = plain_verdicts([r for r in rows if r[0] in good])
+    assert seen[2] == sorted(ruled) and len(ruled) > 100
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t, _, _ in rows if i in ruled for w in [t.encode().lower().split()]}
+    left, single = set(sets), []
+    while left:
+        todo, comp = [left.pop()], []
+        while todo:
+            comp.append(i := todo.pop())
+            near = {j for j in left if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+            left -= near
+            todo += near
+        single.append(min(comp))
+    assert seen[3] == sorted(single) and len(single) < len(ruled)
+    texts = dict(zip(docs.doc_id, docs.text))
+    want = {i: len(byte_ids[texts[i]]) + 1 for i in single}
+    check_pieces([Row(**r) for r in out.to_dict("records")], texts, byte_ids)
+    assert out.groupby("doc_id").length.sum().to_dict() == want and all(len(g) == -(-want[i] // 2048) for i, g in out.groupby("doc_id"))
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, name):
     import duckdb
