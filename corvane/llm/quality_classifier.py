@@ -67,14 +67,24 @@ class CompressionModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    samples, total = [], 0
-    for t in texts:
-        for b in _blocks(t):
-            samples.append(b[:BLOCK])
+def _samples(texts: list[str], most: int) -> list[bytes]:
+    """All blocks of the texts; if they exceed ``most`` bytes, every text's first block, then every second one, up to it."""
+    blocks = [_blocks(t) for t in texts]
+    if sum(len(b) for bs in blocks for b in bs) <= most:
+        return [b for bs in blocks for b in bs]
+    out, total = [], 0
+    for i in range(max(map(len, blocks))):
+        for b in (bs[i] for bs in blocks if i < len(bs)):
             total += len(b)
-        if total > SAMPLE_BYTES:
-            break
+            if total > most:
+                return out
+            out.append(b)
+    return out
+
+
+def _dictionary(texts: list[str], most: int = SAMPLE_BYTES) -> bytes:
+    samples = _samples(texts, most)
+    total = sum(map(len, samples))
     size = min(DICTIONARY_BYTES, total // 8)
     if len(samples) < 8 or size < 1024:
         return b"".join(samples)[-size:] if size else b""
@@ -104,9 +114,10 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS, sample_bytes: int = SAMPLE_BYTES) -> CompressionModel:
     """Fit on labelled rows outside the held-out fold, a bounded sample by smallest hash of the id.
 
+    A dictionary is trained on sample_bytes of its class's texts at most, spread evenly over the sampled rows.
     Ids labelled both ways are left out. Without both classes every text scores the share of good labels.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -128,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_RO
         return CompressionModel(b"", b"", bias=math.log(p / (1 - p)), empty=p)
     # rows that made the dictionaries would look better than they are, so the calibration uses others
     cut = {q: min(dictionary_rows, len(t) // 2) for q, t in by.items()}
-    model = CompressionModel(_dictionary(by[1][: cut[1]]), _dictionary(by[0][: cut[0]]))
+    model = CompressionModel(_dictionary(by[1][: cut[1]], sample_bytes), _dictionary(by[0][: cut[0]], sample_bytes))
     x, y, weight = [], [], []
     for q in (0, 1):
         for t in by[q][cut[q] :]:

@@ -246,6 +246,13 @@ def test_quality_classifier(spark, odd, empty):
     assert quality_classifier.keep_good(odd, labels).columns == odd.columns
 
 
+def test_dictionary_samples_are_spread_over_all_rows():
+    texts = [chr(97 + i) * (80 * quality_classifier.BLOCK if i == 0 else 2 * quality_classifier.BLOCK) for i in range(8)]
+    got = quality_classifier._samples(texts, 10 * quality_classifier.BLOCK)
+    assert len(got) == 10 and {b[:1] for b in got} == {t[:1].encode() for t in texts}
+    assert quality_classifier._samples(texts, 1 << 30) == [b for t in texts for b in quality_classifier._blocks(t)]
+
+
 def test_sharding(spark, docs, odd, empty):
     for rows, n in ((QUERIES["op5_sharding"](spark, D).collect(), len(docs)), (sharding.shard_documents(odd).collect(), len(ODD))):
         f = pd.DataFrame([r.asDict() for r in rows])
