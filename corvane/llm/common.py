@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 #: White space of the word pattern [^\x20\x09-\x0D]+ as a Java character class.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bits of a broadcast key filter: 2 MB, whatever the data's size.
+BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local tests a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -32,7 +35,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more: all that was derived from them must be staged by now."""
+    for df in frames:
+        path = df.__dict__.pop("_staged", None) if df is not None else None
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of df whose ``key`` may be among the keys in wanted (one column), or with ``inside`` false those whose key surely is not.
+
+    A bitmap of BITS bits is broadcast as a table of words, at most BITS / 64 rows, so its size has a fixed bound; it only
+    thins df before an exact join. Null keys are never inside.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    place = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit(c), F.lit(64)).cast("int"))
+    word = lambda c: F.floor(bit(c) / 64).cast("int")
+    only = F.col(wanted.columns[0])
+    words = wanted.where(only.isNotNull()).select(word(only).alias("_word"), place(only).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = df.withColumns({"_word": F.when(F.col(key).isNotNull(), word(F.col(key))), "_bit": place(F.col(key))}).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return held.where(hit if inside else ~hit).select(*df.columns)
 
 
 def words(text: Column) -> Column:

@@ -23,7 +23,8 @@ WITH RECURSIVE w AS MATERIALIZED (
 ), reach AS (SELECT id, id AS r FROM sets UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r
 ), named AS (SELECT sets.id, sets.s, min(f.least_id) AS c FROM reach JOIN sets ON sets.id = reach.id JOIN (
     SELECT sets.id, min(s.doc_id) AS least_id FROM s JOIN sets ON sets.s = s.s GROUP BY sets.id) f ON f.id = reach.r GROUP BY sets.id, sets.s)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(named.c, s.doc_id) AS component_id FROM s LEFT JOIN named ON named.s = s.s
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(named.c, s.doc_id) AS component_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN named ON named.s = s.s LEFT JOIN sets ON sets.s = s.s LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = sets.id
 """
 
 _CONTROL = "(" + "|".join("".join(f"\\{c}" if c in "[]|/" else c for c in x) for x in CONTROL) + ")"
