@@ -2,8 +2,13 @@
 
 Every page is parsed once into text blocks and the element subtrees around them, each with a hash of its source. Spark
 counts for each host on how many different pages a subtree recurs; blocks inside subtrees that recur on many are deleted.
-Elements whose meaning is boilerplate whatever their text (menus, footers, forms, adverts, comments, scripts) are dropped
-while parsing, since their texts often differ from page to page.
+Elements whose meaning is boilerplate whatever their text (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments, scripts) are dropped while parsing, since their texts often differ from page to page and a host may have too few
+pages to tell; what their tag, role or whole class name does not say is left to the counts alone (``names`` false: class
+names say nothing).
+
+Only subtrees that may recur are counted exactly: a first count of hash cells, whose bitmap has a fixed size, rules out the
+rest, and only pages with a template in their text leave their place for a join.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import BITS, discard, maybe_in, stage
 
 #: A subtree is a template if it recurs on so many of its host's pages of different text: the first number at least, and
 #: beyond that this share of the pages or the last number, whichever is less, so that large hosts need no more than that.
@@ -42,13 +47,14 @@ _DROP = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal "
-    "overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments "
-    "commentlist respond disqus replies share sharing social related recommended recommendations widget toolbar copyright masthead".split()
+    "ad ads advert adverts advertisement advertising sponsored banner cookie cookies consent gdpr notice popup newsletter subscribe signup login "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination header footer masthead comment comments commentlist respond disqus replies".split()
 )
-#: What a class or id may have before or after a name of _NAMES, with a hyphen between, and still be one: site-footer, related-posts.
-_BEFORE = frozenset("site page main top bottom global primary secondary post article entry blog wp js cookie social user".split())
-_AFTER = frozenset("bar box list link links button buttons banner wrapper container section area menu widget form block popup overlay modal unit slot posts articles stories".split())
+#: What a class or id may have before or after a name of _NAMES, with a hyphen between, and still be one: site-footer, sidebar-left.
+_BEFORE = frozenset("site page main top bottom global primary secondary left right user reader".split())
+_AFTER = frozenset("bar box list links wrapper container section area block top bottom left right form".split())
+#: Template hits are joined by a broadcast where a template has more than this share of all hits; at most 1 / HOT have.
+HOT = 1e-3
 #: Inside the article all blocks but these need TEXT_COUNTS.
 _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
 #: Start tags that end an open element of the same kind.
@@ -65,7 +71,7 @@ def _named(value: str) -> bool:
     return False
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool | None:
+def _boilerplate(tag: str, attrs: str, in_article: bool, names: bool) -> bool | None:
     """True for boilerplate by tag, role or hiding; None by class or id alone, which holds only for elements without an article."""
     if tag in _DROP or (tag == "header" and not in_article):
         return True
@@ -77,7 +83,7 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool | None:
         if name == "hidden":
             return True
         if name in ("class", "id"):
-            named = named or (tag != "article" and _named(value))
+            named = named or (names and tag not in ("article", "header") and _named(value))
         elif name == "role":
             if value.strip("\"' ").lower() in _ROLES:
                 return True
@@ -93,7 +99,7 @@ class _Open:
         self.tag, self.start, self.drop, self.article, self.first, self.named = tag, start, drop, article, first, named
 
 
-def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+def parse(page: str | None, names: bool = True) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
     """(blocks, elements): the blocks of text that can be main text, in page order, and (hash, first block, last block + 1,
     whether it is text of an article) of the element subtrees around them. If articles and main elements hold at least half of the text, only what is inside counts."""
     page = page or ""
@@ -102,6 +108,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
     around, holds = [0], [True]
     elements: list[tuple[int, int, int, bool, bool]] = []
     stack: list[_Open] = []
+    opened: dict[str, int] = {}  # open elements by tag, so that a stray end tag need not look through the stack
     pieces: list[str] = []
     inside = False
 
@@ -117,6 +124,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
         flush()
         while len(stack) > to:
             e = stack.pop()
+            opened[e.tag] -= 1
             if not e.drop and len(blocks) > e.first and e.tag not in ("html", "body", "article", "main") and (not e.article or e.tag in _BLOCK):
                 elements.append((xxhash.xxh3_64_intdigest(page[e.start : end].encode("utf-8", "surrogatepass")) - (1 << 63), e.first, len(blocks), e.article, e.article and e.tag not in _CONTAINERS))
         inside = bool(stack) and stack[-1].article
@@ -139,16 +147,20 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
                 flush()
             elif tag in _SPACED and not (stack and stack[-1].drop):
                 pieces.append(" ")
+            if not opened.get(tag):
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
+                    if tag not in _BLOCK and stack[-1].named != (stack[i - 1].named if i else 0):
+                        flush()
                     if tag in _BLOCK:
                         pop(i, at)
                     else:
-                        # an inline element closes only itself, if no block stands between
-                        if not any(s.tag in _BLOCK for s in stack[i + 1 :]):
-                            if stack[-1].named != (stack[i - 1].named if i else 0):
-                                flush()
-                            del stack[i:]
+                        for e in stack[i:]:
+                            opened[e.tag] -= 1
+                        del stack[i:]
+                    break
+                if tag not in _BLOCK and stack[i].tag in _BLOCK:  # an inline element closes only itself, if no block stands between
                     break
             continue
         dropped, article = (stack[-1].drop, stack[-1].article) if stack else (False, False)
@@ -180,7 +192,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
                 continue
         if attrs.endswith("/") and tag not in _BLOCK:
             continue
-        kind = dropped or _boilerplate(tag, attrs, article)
+        kind = dropped or _boilerplate(tag, attrs, article, names)
         drop, named = bool(kind), stack[-1].named if stack else 0
         if (drop and not dropped) or kind is None:
             flush()
@@ -193,10 +205,8 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
             while i and not holds[i]:
                 holds[i], i = True, around[i]
         inside = article or (tag in ("article", "main") and not drop)
-        if tag in _BLOCK or drop or kind is None:
-            stack.append(_Open(tag, m.start(), drop, inside, len(blocks), named))
-        elif len(stack) < 512:
-            stack.append(_Open(tag, m.start(), drop, inside, len(blocks), named))
+        stack.append(_Open(tag, m.start(), drop, inside, len(blocks), named))
+        opened[tag] = opened.get(tag, 0) + 1
     pop(0, size)
     good = [True]
     for i in range(1, len(holds)):
@@ -218,13 +228,13 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, names: bool = True) -> DataFrame:
     """page_id, url, host, blocks, elements, print (hash of the text) of every page, with a row number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.bool_())]))
         for b in batches:
-            found = [parse(p) for p in b.column(3).to_pylist()]
+            found = [parse(p, names) for p in b.column(3).to_pylist()]
             blocks = pa.array([x[0] for x in found], pa.list_(pa.string()))
             spans = pa.array([[{"hash": h, "first": i, "last": j, "text": t} for h, i, j, t in x[1]] for x in found], kind)
             prints = pa.array([xxhash.xxh3_64_intdigest("\n".join(x[0]).encode("utf-8", "surrogatepass")) - (1 << 63) for x in found], pa.int64())
@@ -234,24 +244,43 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<string>, elements array<struct<hash:bigint,first:int,last:int,text:boolean>>, print bigint")
 
 
-def templates(parsed: DataFrame, counts: tuple[int, float, int] = COUNTS, text_counts: tuple[int, float, int] = TEXT_COUNTS) -> DataFrame:
-    """(host, hash, text) of subtrees that recur; copies of one page count once."""
+def _recurring(parsed: DataFrame, least: int) -> DataFrame:
+    """row, host, print and element of the subtrees whose hash cell has ``least`` occurrences: all that recur, and a few more."""
+    spans = parsed.where(F.size("elements") > 0).select("row", "host", "print", F.explode("elements").alias("e"))
+    spans = spans.select("row", "host", "print", "e.*").withColumn("_cell", F.pmod(F.xxhash64("host", "hash", "text"), F.lit(BITS)))
+    word, bit = F.floor(F.col("_cell") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_cell", F.lit(64)).cast("int"))
+    often = spans.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    words = often.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))  # BITS / 64 rows at most
+    held = spans.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word")
+    return held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits", "_cell")
+
+
+def templates(parsed: DataFrame, counts: tuple[int, float, int] = COUNTS, text_counts: tuple[int, float, int] = TEXT_COUNTS, spans: DataFrame | None = None) -> DataFrame:
+    """(host, hash, text, n) of subtrees that recur on n pages; copies of one page count once."""
+    if spans is None:
+        spans = _recurring(parsed, min(counts[0], text_counts[0]))
     pages = parsed.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    kinds = F.array_distinct(F.transform("elements", lambda e: F.struct(e["hash"].alias("hash"), e["text"].alias("text"))))
-    spans = parsed.where(F.size("elements") > 0).select("host", "print", F.explode(kinds).alias("e")).select("host", "print", "e.*")
-    often = spans.distinct().groupBy("host", "hash", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(counts[0], text_counts[0]))
+    often = spans.select("host", "print", "hash", "text").distinct().groupBy("host", "hash", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(counts[0], text_counts[0]))
     least = lambda c: F.greatest(F.lit(float(c[0])), F.least(F.lit(float(c[2])), c[1] * F.col("pages")))
-    return often.join(pages, "host").where(F.col("n") >= F.when(F.col("text"), least(text_counts)).otherwise(least(counts))).select("host", "hash", "text")
+    return often.join(pages, "host").where(F.col("n") >= F.when(F.col("text"), least(text_counts)).otherwise(least(counts))).select("host", "hash", "text", "n")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
     """op10: page_id, url, text, n_chars of every row; null or empty html gives an empty text. Repeated rows stay."""
-    parsed = stage(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
-    spans = parsed.where(F.size("elements") > 0).select("row", "host", F.explode("elements").alias("e")).select("row", "host", "e.*")
-    hits = spans.join(templates(parsed), ["host", "hash", "text"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    # pages without subtrees that could be templates keep all blocks and stay where they are
-    rows = parsed.select("page_id", "url", "blocks", "row", (F.size("elements") > 0).alias("_some"))
-    out = rows.where("_some").join(hits, "row", "left").unionByName(rows.where("not _some").withColumn("gone", F.lit(None).cast(hits.schema["gone"].dataType)))
+    parsed = stage(parse_pages(pages, names).withColumn("row", F.monotonically_increasing_id()), "pages")
+    spans = stage(_recurring(parsed, min(COUNTS[0], TEXT_COUNTS[0])), "spans")
+    found = stage(templates(parsed, spans=spans), "templates")
+    keys, most = ["host", "hash", "text"], HOT * max(1, spans.count())
+    # n counts pages of different text, which are no more than a template's hits, so hot ones are at most 1 / HOT
+    hot = F.broadcast(found.where(F.col("n") > most).select(*keys))
+    rare = spans.join(hot, keys, "left_anti").join(found.where(F.col("n") <= most).select(*keys), keys)
+    hits = spans.join(hot, keys).select("row", "first", "last").unionByName(rare.select("row", "first", "last"))
+    hits = stage(hits.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone")), "hits")
+    discard(spans, found)
+    # pages without a template in their text stay where they are
+    rows = parsed.select("page_id", "url", "blocks", "row")
+    clean = maybe_in(rows, "row", hits.select("row"), inside=False).withColumn("gone", F.lit(None).cast(hits.schema["gone"].dataType))
+    out = maybe_in(rows, "row", hits.select("row")).join(hits, "row", "left").unionByName(clean)
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i < g["last"]))))
     text = F.array_join(kept, "\n\n")
     return out.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))

@@ -354,7 +354,11 @@ PAGE = """<html><head><title>T</title></head><body><nav><a>menu</a></nav><div cl
 def test_html_parsing():
     parse = lambda s: "\n\n".join(html_text.parse(s)[0])
     assert parse("<body><p>a&amp;b <b>c</b>d<br>e<p>f<script>var x='</p>'</script>g<!-- <p>no</p> --></body>") == "a&b cd e\n\nfg"
-    assert parse("<article><h1>A</h1><p>x < y &lt;<div class='share'>s</div><ul><li>1<li>2</ul></article><p>out</p>") == "A\n\nx < y <\n\n1\n\n2"
+    assert parse("<article><h1>A</h1><p>x < y &lt;<div class='notice'>s</div><ul><li>1<li>2</ul></article><p>out</p>") == "A\n\nx < y <\n\n1\n\n2"
+    # what is no menu, header, footer, sidebar, notice, advert, form or comment stays, whatever its class says
+    assert parse("<article><p>a</p><div class='related'>r</div><div class='share'>s</div></article>") == "a\n\nr\n\ns"
+    deep = "<i>" * 3000 + "<p>x" + "</b>" * 3000 + "</i>" * 10
+    assert parse(f"<article>{deep}<aside>no</aside>y</article>") == "x\n\ny"
     assert parse(None) == parse("") == "" and parse("plain  text") == "plain text" and parse("<p title='>'>q</p><p unclosed") == "q"
     assert parse("<article><p><b>a<p>b</article>c") == "a\n\nb"
 
@@ -364,11 +368,11 @@ def test_class_names_take_no_main_text():
     for page in (
         "<article class='post comments-open'><p>own text</p></article>", "<div class='layout has-sidebar'><p>own text</p></div>", "<article class='post tag-social'><p>own text</p></article>",
         "<section id='sharing-economy'><p>own text</p></section>", "<article class='comment'><p>own text</p></article>", "<div class='widget'><article><p>own text</p></article></div>",
-        "<div class='sidebar'><div class='menu'>own text<main></main></div></div>", "<p>own</p><p class=ad>x</p> <span class='share'>y</span><p>text</p>",
+        "<div class='sidebar'><div class='menu'>own text<main></main></div></div>", "<p>own</p><p class=ad>x</p> <span class='sponsored'>y</span><p>text</p>",
     ):
         assert parse(page).split() == ["own", "text"], page
     assert parse("<div><p>long own text of the page</p><div><article><p>card</p></article></div></div>") == "long own text of the page\n\ncard"
-    assert parse("<article><p>own text</p><div class='related_posts'>r</div><div class='x site-footer'>f</div><div id='comments-section'>c</div></article>") == "own text"
+    assert parse("<article><p>own text</p><div class='sidebar_left'>r</div><div class='x site-footer'>f</div><div id='comments-section'>c</div></article>") == "own text"
 
 
 def test_site_templates_go(spark):
@@ -380,6 +384,34 @@ def test_site_templates_go(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_template_counts_against_brute_force(spark):
+    """The counts decide, with class names off too: templates of whole hosts, one of them hot, recounted plainly."""
+    rnd, rows = random.Random(8), []
+    for i in range(400):
+        host = "hot" if i % 4 else f"h{i % 16}"
+        parts = [f"<div class='ad'>buy {rnd.randrange(3)}</div>", f"<div><p>join {host}</p></div>", f"<p>own {rnd.randrange(150)}</p>", f"<p>{host} line {rnd.randrange(40)}</p>"]
+        rnd.shuffle(parts)
+        rows.append((i, f"http://{host}/{i}", "".join(parts)))
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for names in (True, False):
+        seen, prints = {}, {}
+        for i, url, page in rows:
+            host, (blocks, elements) = url.split("/")[2], html_text.parse(page, names)
+            prints.setdefault(host, set()).add(tuple(blocks))
+            for h, _, _, text in elements:
+                seen.setdefault((host, h, text), set()).add(tuple(blocks))
+        c = html_text.COUNTS
+        want = {k for k, v in seen.items() if len(v) >= max(c[0], min(c[2], c[1] * len(prints[k[0]])))}
+        parsed = html_text.parse_pages(frame, names).withColumn("row", F.monotonically_increasing_id())
+        assert {(r.host, r.hash, r.text) for r in html_text.templates(parsed).collect()} == want and len(want) > 5
+        got = {r.page_id: r.text for r in html_text.extract(frame, names).collect()}
+        for i, url, page in rows:
+            host, (blocks, elements) = url.split("/")[2], html_text.parse(page, names)
+            gone = {k for h, a, b, t in elements if (host, h, t) in want for k in range(a, b)}
+            assert got[i] == "\n\n".join(b for k, b in enumerate(blocks) if k not in gone)
+        assert not any("join" in t or "buy" in t for t in got.values())
+
+
 def test_templates_of_large_hosts_and_articles(spark):
     """A menu on 60 of 400 pages goes; a notice on all pages of an article host goes, a paragraph on some of them stays."""
     menu = "<div class='x'>section menu<p>of the host</p></div>"
