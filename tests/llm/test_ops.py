@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -273,15 +274,41 @@ def test_token_files(spark, docs, byte_ids, odd, empty, tmp_path):
         want = byte_ids[text] + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), crc(want))
         start += len(want)
-    rows = token_files.token_files(spark, odd, BYTE_BPE).collect()
+    # another session has the folder alone: dictionary and manifest lie in it, and one document is read by ranges
+    for doc_id, text in list(zip(docs.doc_id.tolist(), docs.text.fillna("")))[::40]:
+        assert token_files.read_document(spark, f"{tmp_path}/f", doc_id) == [byte_ids[text] + [2]]
+    assert token_files.read_document(spark, f"{tmp_path}/f", -5) == [] and len(list(tmp_path.glob("f/*.dict"))) == 1
+    rows = token_files.token_files(spark, odd, BYTE_BPE, f"{tmp_path}/odd").collect()
     assert len(rows) == len(ODD) and sorted(r.start for r in rows)[0] == 0
-    assert token_files.token_files(spark, empty, BYTE_BPE).count() == 0
+    assert token_files.read_document(spark, f"{tmp_path}/odd", 4) == [byte_ids["one two"] + [2]] * 2
+    assert token_files.token_files(spark, empty, BYTE_BPE, f"{tmp_path}/none").count() == 0
+    assert token_files.read_document(spark, f"{tmp_path}/none", 1) == []
+
+
+def test_one_document_costs_one_index_and_one_frame():
+    frames = [(i, 100, zstandard.compress(bytes(400))) for i in range(50)]
+    data, fetched = token_files.file_bytes(frames, b""), []
+
+    def read(at, size):
+        fetched.append(size)
+        return data[at : at + size]
+
+    file = token_files.TokenFile(read, b"")
+    assert file.ids(file.places(7)[0]) == bytes(400) and list(file.places(99)) == []
+    assert fetched == [24, 50 * token_files._INDEX.itemsize, len(frames[7][2])]
+
+
+def test_dictionary_sample_is_bounded(spark):
+    """One doc_id on most rows and long texts: the driver gets one piece a document."""
+    rows = [(5, f"word{i} " * 2000) for i in range(60)] + [(i, "some words " * 300) for i in range(100, 140)]
+    got = token_files.sample_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), BYTE_BPE, sample=10, most=1000)
+    assert len(got) == 10 and all(len(x) <= 1000 for x in got)
 
 
 def test_token_file_refuses_another_dictionary():
     data = token_files.file_bytes([(1, 1, b"x")], b"")
     with pytest.raises(ValueError, match="another"):
-        token_files.TokenFile(data, b"other")
+        token_files.TokenFile(lambda at, size: data[at : at + size], b"other")
 
 
 TEXTS = ["", "  a  b\n\n c <|endoftext|> x<|startoftext|>y  ", "ΑΣ ΑΣΣ İstanbul ǅ ﬁ é ́a a\x1cb!\x1d! \x85 　z", "don't WE'LL 123 45½ ²", "\n\n lead", " trail \n", "a  <|endoftext|>  b", "🙂 👩‍👩‍👧", "​ ﻿", "x" * 5000]
