@@ -17,12 +17,12 @@ class EmptyEntryID(StoreError):
     """A write was given an empty ID."""
 
 
-class RelationshipCountMismatch(StoreError):
-    """A value carries another number of relationship lists than the store declares."""
+class Cancelled(StoreError):
+    """The context of a transaction was cancelled or ran out of time."""
 
 
-class EmptyFilters(StoreError):
-    """A compound cursor was asked for without filters."""
+class BatchSiblingFailed(StoreError):
+    """A call of the same batch raised; this one did not, but went with it."""
 
 
 class MirrorIsReadOnly(StoreError):

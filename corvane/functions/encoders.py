@@ -18,9 +18,7 @@ class JSONEncoder:
         return F.to_json(value, {"ignoreNullFields": "false"}).cast("binary")
 
     def decode(self, data: Column, schema: T.StructType) -> Column:
-        text = data.cast("string")
-        parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-        return F.when(text.isNull(), None).otherwise(parsed)
+        return F.from_json(data.cast("string"), schema, {"mode": "PERMISSIVE"})
 
 
 @dataclass(frozen=True)
@@ -37,8 +35,13 @@ class EncryptedJSONEncoder(JSONEncoder):
         return F.aes_encrypt(super().encode(value), F.lit(self.key), F.lit("GCM"))
 
     def decode(self, data: Column, schema: T.StructType) -> Column:
+        # an array's element is computed once, however often the branches name it
         opened = F.try_aes_decrypt(data, F.lit(self.key), F.lit("GCM"))
-        plain = F.when(F.expr("true") & F.substring(data, 1, 1).isin(bytearray(b"{")), data)
-        readable = F.coalesce(opened, plain)
-        checked = F.when(data.isNotNull() & readable.isNull(), F.raise_error(F.lit("value is neither encrypted with this key nor plain JSON"))).otherwise(readable)
-        return super().decode(checked, schema)
+        both = F.array(F.struct(data.alias("raw"), opened.alias("opened")))
+
+        def readable(x: Column) -> Column:
+            plain = F.substring(x["raw"], 1, 1).isin(bytearray(b"{"))
+            wrong = F.raise_error(F.lit("value is neither encrypted with this key nor plain JSON")).cast("binary")
+            return F.when(x["opened"].isNotNull(), x["opened"]).when(x["raw"].isNull() | plain, x["raw"]).otherwise(wrong)
+
+        return super().decode(F.get(F.transform(both, readable), F.lit(0)), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +40,23 @@ def remove(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def number(values: DataFrame, first: int, order: list[str], length: int = INDEX_LENGTH) -> DataFrame:
-    """IDs for new values: consecutive from ``first`` in the given order.
+    """IDs for new values: consecutive from ``first`` in the given order, which should be nearly unique.
 
-    Ranges of the order are counted first and each numbers its own rows, so no task sees them all.
+    A sample gives the bounds of ranges of the order. They are fixed before anything is counted, so that the count of each
+    range and the ranks within it speak of the same rows; no task sees them all.
     """
     spark = values.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = values.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(*order)
-    ranked = placed.withColumn("_rank", F.row_number().over(local))
+    parts = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = values.count()
+    known = values.select(*order).sample(min(1.0, 100.0 * parts / n), seed=7).orderBy(*order).collect() if n else []  # about 100 keys a range
+    bounds = spark.createDataFrame([tuple(known[i * len(known) // parts]) for i in range(1, parts)] if known else [], values.select(*order).schema).distinct()
+    bounds = bounds.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_bounds"))  # one row
+    key = F.struct(*order)
+    placed = values.join(F.broadcast(bounds)).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     base = placed.groupBy("_part").count()
-    base = base.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))
-    out = ranked.join(base, "_part").withColumn("id", padded_id(F.col("_base") + F.col("_rank") - 1 + F.lit(first), length))
+    base = base.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # a row a range
+    out = ranked.join(F.broadcast(base), "_part").withColumn("id", padded_id(F.col("_base") + F.col("_rank") - 1 + F.lit(first), length))
     return out.drop("_part", "_rank", "_base")
 
 
@@ -58,6 +65,25 @@ def next_index(entries: DataFrame) -> DataFrame:
     return entries.agg((F.coalesce(F.max(parse_index(F.col("id"))), F.lit(-1)) + 1).alias("current_index"))
 
 
+DELETED = "_deleted"
+
+
+def latest(changes: list[DataFrame], schema) -> DataFrame:
+    """The last of several sets of changes (entries plus DELETED, each ID once a set), one row an ID."""
+    if len(changes) == 1:
+        return changes[0]
+    names = [f.name for f in schema.fields]
+    rows = [c.select("id", F.lit(i).alias("_at"), F.struct(*names, DELETED).alias("_row")) for i, c in enumerate(changes)]
+    last = reduce(DataFrame.unionByName, rows).groupBy("id").agg(F.max_by("_row", "_at").alias("_row"))
+    return last.select("_row.*")
+
+
+def changed(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries with a set of changes applied."""
+    fresh = changes.where(~F.col(DELETED)).select(*entries.columns)
+    return remove(entries, changes).select(*entries.columns).unionByName(fresh)
+
+
 def index_delta(spec: RelationshipSpec, old: DataFrame, new: DataFrame) -> DataFrame:
     """(rel_key, rel_id, entry_id, change): pairs that a write adds or removes."""
     was, now = spec.index(old), spec.index(new)

@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import Break
 from .functions.encoders import EncryptedJSONEncoder, JSONEncoder
 from .functions.ids import padded_id, parse_index
 from .operators import writes
 from .operators.filters import Comparison, InverseMatch, Match, greater_than, greater_than_or_equal_to, in_range, less_than, less_than_or_equal_to
 from .plans.compile import Options, Plan
 from .sources.changelog import decode_values, write_actions
+from .sources.scratch import scratch
 from .spec import RelationshipSpec
+from .store import Reader, Store, StoreOptions, Transaction
+from .streaming.mirror import Mirror
 
 ORDERS = RelationshipSpec({"status": "st", "priority": "pr", "customers": "cust", "tags": "tags"})
 EVENTS = RelationshipSpec({"users": "user", "types": "type"})
 NOW = 1_700_000_000
+_STATUS_F, _AF = Match("status", "F"), Match("tags", "AF")
 
 
 def orders(spark: SparkSession, d: str, tags: bool = True) -> DataFrame:
@@ -66,8 +71,9 @@ def _page(*filters, tags: bool = False, **options) -> Callable:
 
 def _seek(reverse: bool) -> Callable:
     def run(s: SparkSession, d: str) -> DataFrame:
-        plan = _plan(s, d, Match("status", "F"), tags=False)
-        return plan.after(plan.rows(), "00005000", reverse, inclusive=True).orderBy(*plan.order(reverse)).limit(1).select("id")
+        cursor = _reader(s, d).id_cursor([Match("status", "F")])
+        row = (cursor.seek_reverse if reverse else cursor.seek)("00005000")
+        return s.createDataFrame([(row.id,)] if row else [], "id string")
 
     return run
 
@@ -106,9 +112,9 @@ def update_state(s: SparkSession, d: str) -> DataFrame:
 
 
 def new_state(s: SparkSession, d: str) -> DataFrame:
-    """Customers get IDs from 500 on, in order of their keys."""
-    c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey")
-    return writes.number(c, 500, ["c_custkey"]).select("id", "c_custkey")
+    """Orders get IDs from 500 on, in order of their customers and keys, and keep their other columns."""
+    o = s.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return writes.number(o, 500, ["o_custkey", "o_orderkey"]).select("id", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 def index_delta(s: SparkSession, d: str) -> DataFrame:
@@ -177,18 +183,124 @@ def _coded(encoder: JSONEncoder, written_by: JSONEncoder | None = None) -> Calla
     return run
 
 
+def _reader(s: SparkSession, d: str, tags: bool = False, index: bool = False) -> Reader:
+    entries = orders(s, d, tags)
+    return Reader(entries, ORDERS, ORDERS.index(entries) if index else None)
+
+
 def get(s: SparkSession, d: str) -> DataFrame:
-    return orders(s, d, tags=False).where(F.col("id") == "00000007").limit(1).select("id", "st", "pr", "cust")
+    row = _reader(s, d).get("00000007")
+    return s.createDataFrame([(row.id, row.st, row.pr, row.cust)], "id string, st string, pr string, cust string")
 
 
 def exists(s: SparkSession, d: str) -> DataFrame:
-    asked = s.createDataFrame([("00000007",), ("99999999",)], "id string")
-    found = orders(s, d, tags=False).select("id", F.lit(True).alias("found"))
-    return asked.join(found, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+    reader = _reader(s, d)
+    return s.createDataFrame([(i, reader.exists(i)) for i in ("00000007", "99999999")], "id string, found boolean")
 
 
 def append(s: SparkSession, d: str) -> DataFrame:
-    return _ids(Match("tags", "AF"), tags=True)(s, d).unionByName(_ids(Match("status", "F"))(s, d))
+    reader = _reader(s, d, True)
+    return reader.append_filtered_ids(reader.get_filtered_ids(Options([_AF])).df, Options([_STATUS_F]))
+
+
+def _indexed(*filters, tags: bool = True) -> Callable:
+    """IDs through the materialised index: semi- and anti-joins instead of predicates on the entry."""
+    return lambda s, d: _reader(s, d, tags, True).get_filtered_ids(Options(list(filters))).df
+
+
+def cursor_moves(s: SparkSession, d: str) -> DataFrame:
+    """A cursor over two filters, each row with the number of the move that gave it."""
+    c = _reader(s, d, True).cursor([_STATUS_F, _AF], page=3)
+    moves = [c.first, c.next, c.next, c.next, c.prev, lambda: c.seek("::00000500"), c.next, lambda: c.seek_reverse("::00000500"), c.last, c.prev, lambda: c.seek("::99999999")]
+    rows = [(i, m()) for i, m in enumerate(moves)]
+    return s.createDataFrame([(i, r.id if r else None) for i, r in rows], "move int, id string")
+
+
+def for_each_rows(s: SparkSession, d: str) -> DataFrame:
+    """What a callback saw before it ended the traversal."""
+    seen: list[tuple] = []
+
+    def take(entry_id: str, row) -> None:
+        if len(seen) == 25:
+            raise Break
+        seen.append((entry_id, row.pr))
+
+    _reader(s, d).for_each(take, Options([_STATUS_F], reverse=True))
+    return s.createDataFrame(seen, "id string, pr string")
+
+
+def _store(s: SparkSession, d: str, **options) -> Store:
+    """A store of its own over the orders, in the shared folder."""
+    base = orders(s, d)
+    store = Store(s, scratch(s, "store"), base.schema, ORDERS, StoreOptions(**options), clock=lambda: NOW)
+    store.transaction(lambda t: t.put_frame(base))
+    return store
+
+
+def store_transactions(s: SparkSession, d: str) -> DataFrame:
+    """Frames and single calls mixed, in three commits, of which one fails; read through the store's index."""
+    store = _store(s, d)
+
+    def mixed(t: Transaction) -> None:
+        t.put("new", {"st": "F", "pr": "9", "cust": "1", "tags": ["ZZ"]})
+        t.delete_frame(t.entries.where("pr = '5-LOW'"))
+        t.update("00000007", lambda v: v | {"tags": ["ZZ", "AF"]})
+
+    def failing(t: Transaction) -> None:
+        t.delete_frame(t.entries)
+        raise ValueError("no")
+
+    store.transaction(mixed)
+    try:
+        store.transaction(failing)
+    except ValueError:
+        pass
+    store.delete("00000007")
+    reader = store.reader(use_index=True)
+    return reader.plan([InverseMatch("tags", "AF")]).rows().select(F.col("rel_id").alias("rid"), "id")
+
+
+def store_batches(s: SparkSession, d: str) -> DataFrame:
+    """Calls in groups, one of which raises, over an empty store; then what each call was told and what is stored."""
+
+    def fail(_: Transaction) -> None:
+        raise ValueError("no")
+
+    schema = events(s, d).schema
+    store = Store(s, scratch(s, "store"), schema, EVENTS, StoreOptions(batch_calls=4, retry_batch_fail=True), clock=lambda: NOW)
+    calls = [fail if i in (2, 5) else (lambda t, i=i: t.new({"user": str(i), "type": "x"}).id) for i in range(8)]
+    told = store.batch(calls)
+    found = {r.user: r.id for r in store.reader().entries.collect()}
+    rows = [(i, isinstance(x, ValueError), found.get(str(i))) for i, x in enumerate(told)]
+    return s.createDataFrame(rows, "call int, failed boolean, id string")
+
+
+def store_replay(s: SparkSession, d: str) -> DataFrame:
+    """A log whose last records no version holds, as after a crash, opened again."""
+    store = _store(s, d)
+    some = orders(s, d).where("st = 'F'").withColumn("pr", F.lit("X"))
+    store.log.append(write_actions(some, JSONEncoder(), F.lit(9), F.lit(None).cast("timestamp")))
+    again = Store(s, store.path, store.schema, ORDERS, clock=lambda: NOW)
+    return again.reader().entries.select("id", "pr")
+
+
+def mirror_stream(s: SparkSession, d: str) -> DataFrame:
+    """A store's log streamed into a mirror, twice; the second run brings the deletes."""
+    store = _store(s, d)
+    mirror = Mirror(s, store.log, scratch(s, "mirror"), store.schema)
+    mirror.start(once=True).awaitTermination()
+    store.transaction(lambda t: t.delete_frame(t.entries.where("st = 'P'")))
+    mirror.start(once=True).awaitTermination()
+    return mirror.entries().select("id", "st", F.array_join("tags", ",").alias("tags"))
+
+
+def store_snapshot(s: SparkSession, d: str) -> DataFrame:
+    """A store's snapshot loaded by a mirror."""
+    store, path = _store(s, d), scratch(s, "snapshot")
+    store.snapshot(path)
+    mirror = Mirror(s, store.log, scratch(s, "mirror"), store.schema)
+    mirror.load_snapshot(s.read.parquet(path))
+    return mirror.entries().select("id", "st", "updatedAt")
 
 
 def take_while(s: SparkSession, d: str) -> DataFrame:
@@ -200,7 +312,6 @@ def _event(*filters) -> Callable:
     return lambda s, d: Plan(events(s, d), EVENTS, list(filters)).rows().select("id")
 
 
-_STATUS_F, _AF = Match("status", "F"), Match("tags", "AF")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_ids": _ids(),
@@ -248,7 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "new": new_state,
     "index_delta": index_delta,
     "reindex_counts": reindex_counts,
-    "batch_fold": log_state,
+    "batch_fold": store_batches,
     "log_state": log_state,
     "mirror_state": mirror_state,
     "action_types": action_types,
@@ -259,6 +370,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_roundtrip": _coded(JSONEncoder()),
     "aes_roundtrip": _coded(EncryptedJSONEncoder(bytes(range(32)))),
     "aes_reads_plain": _coded(EncryptedJSONEncoder(bytes(range(16))), JSONEncoder()),
+    "index_match": _indexed(_STATUS_F, _AF),
+    "index_inverse": _indexed(_STATUS_F, InverseMatch("tags", "AF")),
+    "index_comparison": _indexed(greater_than("priority", "3"), Match("tags", "AF"), less_than("", "00009000")),
+    "cursor_moves": cursor_moves,
+    "for_each": for_each_rows,
+    "store_transactions": store_transactions,
+    "store_replay": store_replay,
+    "store_snapshot": store_snapshot,
+    "mirror_stream": mirror_stream,
     "events_by_type": _event(Match("types", "error")),
     "events_not_type": _event(Match("types", "click"), InverseMatch("users", "1")),
 }
@@ -298,7 +418,7 @@ SQL: dict[str, str] = {
     "inverse_secondary": _status_f("not " + _with("tags", "x.rid = 'AF'")),
     "inverse_secondary_unknown": _status_f("not " + _with("tags", "x.rid = 'ZZ'")),
     "match_secondary_unknown": _status_f(_with("tags", "x.rid = 'ZZ'")),
-    "inverse_then_match": f"{_BASE}select rid, id from r p where rk = 'tags' and rid <> 'AF' and " + _with("status", "x.rid = 'F'"),
+    "inverse_then_match": f"{_BASE}select r.rid, r.id from r join e on e.id = r.id where r.rk = 'tags' and r.rid <> 'AF' and e.st = 'F'",
     "less_than": _rel("priority", "rid < '3-MEDIUM'"),
     "less_equal": _rel("priority", "rid <= '3-MEDIUM'"),
     "greater": _rel("priority", "rid > '3-MEDIUM'"),
@@ -328,10 +448,10 @@ SQL: dict[str, str] = {
     "put": f"select lpad(cast(o_orderkey as varchar), 8, '0') as id, {_PUT.format(chr(39) + 'X' + chr(39), 'o_orderpriority')} as pr, cast({_PUT.format(NOW, 0)} as bigint) as \"createdAt\", cast({_PUT.format(NOW, 0)} as bigint) as \"updatedAt\" from orders",
     "update": f"{_BASE}select id, case when st = 'F' then 'DONE' else st end as st, cast(case when st = 'F' then {NOW} else 0 end as bigint) as \"updatedAt\" from e",
     "delete": f"{_BASE}select id, st from e where id >= '00000100'",
-    "new": "select lpad(cast(499 + row_number() over (order by c_custkey) as varchar), 8, '0') as id, c_custkey from customer",
+    "new": "select lpad(cast(499 + row_number() over (order by o_custkey, o_orderkey) as varchar), 8, '0') as id, o_custkey, o_orderkey, o_orderstatus, o_totalprice from orders",
     "index_delta": f"{_BASE}select 'priority' as rel_key, x.rid as rel_id, id as entry_id, x.change from e, (values ('add'), ('remove')) c(change), lateral (select case when c.change = 'add' then 'X' else pr end as rid, c.change as change) x where cast(cust as int) <= 50",
     "reindex_counts": f"{_BASE}select rk, rid, count(*) as n from r group by rk, rid",
-    "batch_fold": _LOG,
+    "batch_fold": "select cast(i as int) as call, i in (2, 5) as failed, case when i not in (2, 5) then lpad(cast(i - cast(i > 2 as int) - cast(i > 5 as int) as varchar), 8, '0') end as id from range(8) t(i)",
     "log_state": _LOG,
     "mirror_state": _LOG,
     "action_types": "select case when event_type = 'error' then 'delete' else 'write' end as name, count(*) as n from events group by 1",
@@ -342,6 +462,18 @@ SQL: dict[str, str] = {
     "json_roundtrip": f"{_BASE}select id, st, pr, cust from e",
     "aes_roundtrip": f"{_BASE}select id, st, pr, cust from e",
     "aes_reads_plain": f"{_BASE}select id, st, pr, cust from e",
+    "index_match": _status_f(_with("tags", "x.rid = 'AF'")),
+    "index_inverse": _status_f("not " + _with("tags", "x.rid = 'AF'")),
+    "index_comparison": f"{_BASE}select e.id from e join r on r.id = e.id where e.pr > '3' and r.rk = 'tags' and r.rid = 'AF' and e.id < '00009000'",
+    "cursor_moves": f"""{_BASE}, m as (select e.id, row_number() over (order by e.id) as n, row_number() over (order by e.id desc) as back from e join r on r.id = e.id where e.st = 'F' and r.rk = 'tags' and r.rid = 'AF'),
+lo as (select min(n) as n from m where id >= '00000500'), hi as (select max(n) as n from m where id <= '00000500')
+select cast(move as int) as move, (select id from m where (k = 'n' and m.n = v) or (k = 'b' and m.back = v) or (k = 'u' and m.n = (select n from lo) + v) or (k = 'd' and m.n = (select n from hi))) as id
+from (values (0, 'n', 1), (1, 'n', 2), (2, 'n', 3), (3, 'n', 4), (4, 'n', 3), (5, 'u', 0), (6, 'u', 1), (7, 'd', 0), (8, 'b', 1), (9, 'b', 2), (10, 'none', 0)) x(move, k, v)""",
+    "for_each": f"{_BASE}select id, pr from e where st = 'F' order by id desc limit 25",
+    "store_transactions": f"""{_BASE}select rid, r.id from r join e on e.id = r.id where rk = 'tags' and rid <> 'AF' and pr <> '5-LOW' and r.id <> '00000007' union all select 'ZZ', 'new'""",
+    "store_replay": f"{_BASE}select id, case when st = 'F' then 'X' else pr end as pr from e",
+    "store_snapshot": f"{_BASE}select id, st, cast({NOW} as bigint) as \"updatedAt\" from e",
+    "mirror_stream": f"{_BASE}, t as (select id, string_agg(rid, ',' order by rid) as tags from r where rk = 'tags' group by id) select e.id, st, tags from e left join t on t.id = e.id where st <> 'P'",
     "events_by_type": "select lpad(cast(event_id as varchar), 8, '0') as id from events where event_type = 'error'",
     "events_not_type": "select lpad(cast(event_id as varchar), 8, '0') as id from events where event_type = 'click' and user_id <> 1",
 }

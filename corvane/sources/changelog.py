@@ -57,5 +57,9 @@ class ChangeLog:
         for row in self.read().orderBy("seq").toLocalIterator():
             fn(row)
 
-    def next_seq(self) -> int:
-        return (self.read().agg(F.max("seq")).first()[0] or 0) + 1
+    def after(self, seq: int) -> DataFrame:
+        """Records later than seq; the filter reaches the files' statistics."""
+        return self.read().where(F.col("seq") > seq)
+
+    def last_seq(self) -> int:
+        return self.read().agg(F.max("seq")).first()[0] or 0
