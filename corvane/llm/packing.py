@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import loaded
+from .common import stage
 
 LENGTH = 2048
-#: Documents a group of bins is dealt on average.
-GROUP = 32_768
+#: Pieces a group of bins is dealt on average.
+GROUP = 65_536
 END_ID = 0
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -84,7 +85,8 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
-    """pieces plus sequence_id and offset. Groups are dealt by a hash of document and piece, so no key is hot."""
+    """pieces plus sequence_id and offset. Groups are dealt by each row's place in pieces, which must read the same again
+    (a written table does), so that equal rows spread over all groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["_g"].iloc[0])
@@ -92,10 +94,15 @@ def pack(pieces: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
         where, offset = sum_of_squares(pdf["length"].to_numpy(np.int64), length)
         return pdf.assign(sequence_id=where + (group << 40), offset=offset).drop(columns="_g")
 
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("_g").applyInPandas(run, f"{_PIECES}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    groups = max(1, docs.count() // group)
-    return pack(tokenized_pieces(docs, tokenizer, length), groups, length)
+    """op2: a row for each piece of each row of docs, with its sequence and place.
+
+    A null or empty text is one piece of the end id alone. Repeated rows and null ids are packed like any other. An empty
+    table gives no row.
+    """
+    pieces = stage(tokenized_pieces(docs, tokenizer, length), "pieces")
+    return pack(pieces, max(1, pieces.count() // group), length)
