@@ -2,26 +2,32 @@
 
 A small group is held against its language, a small language against all rows, and few rows in all against PRIOR.
 
-Minimum covariance determinant: from coordinate-wise medians and median-like spreads, concentration steps keep the
-three quarters of a group's rows with the smallest Mahalanobis distance and estimate mean and covariance from them
-again. All estimates are mergeable aggregates, so a hot group is pre-aggregated in every task; the matrices are
-factored by Cholesky in column expressions.
+Minimum covariance determinant: from several starts (medians and quartile spreads, the rows in the central box, all rows)
+concentration steps keep the three quarters of a group's rows with the smallest Mahalanobis distance and estimate mean and
+covariance from them again. After some steps each group goes on with the start whose determinant is the smallest, until no
+group's determinant falls any more. All estimates are mergeable aggregates, so a hot group is pre-aggregated in every task;
+the matrices are factored by Cholesky in column expressions.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stage, words
+from .common import SPACES, discard, stage, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
-#: Share of a group's rows that the estimates rest on, concentration steps, and rows below which a group uses the next wider estimate.
-SHARE, STEPS, LEAST = 0.75, 4, 60
+#: Share of a group's rows that the estimates rest on, and rows below which a group uses the next wider estimate.
+SHARE, LEAST = 0.75, 60
+#: Concentration steps with all starts, most steps after those, and the fall of a log determinant that counts as none.
+STEPS, MOST_STEPS, STILL = 2, 12, 1e-3
+#: Files of a table of estimates: a row a group, so small that size-based broadcasts see it as such.
+FILES = 4
 #: Chance that a clean Gaussian row is rejected.
 ALPHA = 1e-9
 #: Least standard deviation of each transformed statistic: many groups have no spread at all in some of them.
@@ -124,7 +130,24 @@ def _factored(estimates: DataFrame, keys: list[str]) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit((FLOOR[i] / 10) ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
     cols = [f"m{i}" for i in range(DIM)] + [f"l{i}{j}" for j, i in PAIRS]
-    return out.select(*keys, F.struct(*cols).alias("_p"), "_n")
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(1, DIM)), 2 * F.log("l00"))
+    return out.select(*keys, F.struct(*cols).alias("_p"), "_n", logdet.alias("_det"))
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for j, i in PAIRS]
+    return rows.groupBy(*keys).agg(F.max("_n").alias("_n"), *sums)
+
+
+def _concentrated(both: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step of every (group, start) in params."""
+    keys = ["_l", "_g", "_s"]
+    far = both.join(params, ["_l", "_g"]).withColumn("_d", distance())
+    cut = stage(far.groupBy(*keys).agg(F.percentile_approx("_d", SHARE, 1000).alias("_cut")).coalesce(FILES), "mcd-cut")
+    core = far.select(*keys, "_n", "_d", *X).join(cut, keys).where(F.col("_d") <= F.col("_cut"))
+    out = stage(_factored(_moments(core, keys), keys).coalesce(FILES), "mcd")
+    discard(cut)
+    return out
 
 
 def fit(rows: DataFrame) -> DataFrame:
@@ -135,16 +158,27 @@ def fit(rows: DataFrame) -> DataFrame:
     both = keyed.withColumn("_k", F.explode(F.array(*[F.struct(F.col(a).alias("_l"), F.col(b).alias("_g")) for a, b in (("_l", "_g"), ("_l", "_all"), ("_all", "_all"))])))
     both = both.select("_k.*", *X)
     keys = ["_l", "_g"]
-    start = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
+    wide = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
+    wide = stage(wide.where((F.col("_n") >= LEAST) | (F.col("_g") == "*")).coalesce(FILES), "mcd-quartiles")
     spread = {f"c{i}{j}": (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) / CONSISTENT if i == j else F.lit(0.0)) for j, i in PAIRS}
-    start = start.where((F.col("_n") >= LEAST) | (F.col("_g") == "*"))
-    params = stage(_factored(start.withColumns({f"m{i}": F.col(f"q{i}")[1] for i in range(DIM)} | spread), keys), "mcd")
+    middle = wide.withColumns({f"m{i}": F.col(f"q{i}")[1] for i in range(DIM)} | spread)
+    boxed = both.join(wide, keys)
+    inside = [F.abs(F.col(x) - F.col(f"q{i}")[1]) <= F.col(f"q{i}")[2] - F.col(f"q{i}")[0] for i, x in enumerate(X)]
+    starts = [middle, _moments(boxed.where(reduce(Column.__and__, inside)), keys), _moments(boxed, keys)]
+    params = stage(reduce(DataFrame.unionByName, [_factored(s, keys).withColumn("_s", F.lit(i)) for i, s in enumerate(starts)]).coalesce(FILES), "mcd")
+    discard(wide)
     for _ in range(STEPS):
-        far = both.join(params, keys).withColumn("_d", distance())
-        cut = far.groupBy(*keys).agg(F.percentile_approx("_d", SHARE, 1000).alias("_cut"))
-        core = far.select(*keys, "_n", "_d", *X).join(F.broadcast(cut), keys).where(F.col("_d") <= F.col("_cut"))
-        sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for j, i in PAIRS]
-        params = stage(_factored(core.groupBy(*keys).agg(F.max("_n").alias("_n"), *sums), keys), "mcd")
+        before, params = params, _concentrated(both, params)
+        discard(before)
+    best = params.groupBy(*keys).agg(F.min_by(F.struct("_s", "_p", "_n", "_det"), F.struct("_det", "_s")).alias("_b")).select(*keys, "_b.*")
+    before, params = params, stage(best.coalesce(FILES), "mcd")
+    discard(before)
+    for _ in range(MOST_STEPS):
+        before, params = params, _concentrated(both, params)
+        fall = before.select(*keys, F.col("_det").alias("_old")).join(params, keys).agg(F.max(F.col("_old") - F.col("_det"))).first()[0]
+        discard(before)
+        if fall is None or fall < STILL:
+            break
     return params
 
 

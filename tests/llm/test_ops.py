@@ -162,6 +162,12 @@ def test_packing(spark, docs, byte_ids, odd, empty):
     check_pieces(rows, {r[0]: r[1] or "" for r in ODD}, byte_ids)
     assert packing.pack_documents(odd, BYTE_BPE).where("doc_id is null").count() == 1
     assert packing.pack_documents(empty, BYTE_BPE).count() == 0
+    # one row many times, and few long rows, spread over groups alike
+    same = spark.createDataFrame([(5, "one two")], "doc_id bigint, text string").crossJoin(spark.range(300).select()).select("doc_id", "text")
+    sizes = packing.pack_documents(same, BYTE_BPE, group=50).groupBy((F.col("sequence_id") / (1 << 40)).cast("int").alias("g")).count().collect()
+    assert len(sizes) == 6 and all(25 <= r["count"] <= 80 for r in sizes)
+    long = spark.createDataFrame([(1, "a b c " * 3000)], "doc_id bigint, text string")
+    assert packing.pack_documents(long, BYTE_BPE, length=16, group=100).select((F.col("sequence_id") / (1 << 40)).cast("int")).distinct().count() > 3
 
 
 def test_sum_of_squares_places_by_the_rule():
@@ -245,13 +251,25 @@ def test_quality_classifier(spark, odd, empty):
     assert {r.score for r in quality_classifier.classify_documents(odd, labels).collect()} == {0.5}
     assert quality_classifier.classify_documents(empty, labels).count() == 0
     assert quality_classifier.keep_good(odd, labels).columns == odd.columns
+    # columns that clash with the operator's own, and one doc_id on many rows
+    good, bad = (" ".join(f"{w}{i % 7}" for i in range(200)) for w in ("fine", "junk#"))
+    rows = [(i, f"{good if i % 2 else bad} {i}", 9.0, 1) for i in range(1, 60)] + [(1, f"{good} again", 9.0, 1)] * 30 + [(100 + i, "", 9.0, 1) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double, _score int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)] + [(100 + i, 0, 0) for i in range(9)], "doc_id bigint, quality int, toxic int")
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(1, 60, 2))
+    scores = {r.doc_id: r.score for r in quality_classifier.classify_documents(docs, labels).collect()}
+    assert 0 < scores[100] < 0.3 and scores[100] == scores[108]
 
 
 def test_dictionary_samples_are_spread_over_all_rows():
     texts = [chr(97 + i) * (80 * quality_classifier.BLOCK if i == 0 else 2 * quality_classifier.BLOCK) for i in range(8)]
-    got = quality_classifier._samples(texts, 10 * quality_classifier.BLOCK)
+    blocks = [quality_classifier._blocks(t) for t in texts]
+    got = quality_classifier._samples(blocks, 10 * quality_classifier.BLOCK)
     assert len(got) == 10 and {b[:1] for b in got} == {t[:1].encode() for t in texts}
-    assert quality_classifier._samples(texts, 1 << 30) == [b for t in texts for b in quality_classifier._blocks(t)]
+    assert quality_classifier._samples(blocks, 1 << 30) == [b for bs in blocks for b in bs]
+    long = "".join(chr(97 + i) * quality_classifier.BLOCK for i in range(24))
+    assert [b[:1] for b in quality_classifier._spread(long)] == [b"a", b"d", b"g", b"j", b"m", b"p", b"s", b"v"]
 
 
 def test_sharding(spark, docs, odd, empty):
@@ -476,13 +494,27 @@ def plain_verdicts(rows):
     at = lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
 
     def estimate(v):
-        mean, cov = at(v, 0.5), np.diag(((at(v, 0.75) - at(v, 0.25)) / 1.349) ** 2 / q.CONSISTENT)
-        for _ in range(q.STEPS + 1):
+        def far(mean, cov):
             inverse = np.linalg.inv(cov * q.CONSISTENT + np.diag(q.FLOOR) ** 2)
-            far = lambda w, m=mean, i=inverse: np.einsum("ij,jk,ik->i", w - m, i, w - m)
-            core = v[far(v) <= at(far(v), q.SHARE)]
-            mean, cov = core.mean(0), np.cov(core.T, bias=True)
-        return far
+            return lambda w: np.einsum("ij,jk,ik->i", w - mean, inverse, w - mean)
+
+        def step(mean, cov):
+            d = far(mean, cov)(v)
+            core = v[d <= at(d, q.SHARE)]
+            return core.mean(0), np.cov(core.T, bias=True)
+
+        det = lambda e: np.linalg.slogdet(e[1] * q.CONSISTENT + np.diag(q.FLOOR) ** 2)[1]
+        mid, wide = at(v, 0.5), at(v, 0.75) - at(v, 0.25)
+        box = v[(np.abs(v - mid) <= wide).all(1)]
+        starts = [(mid, np.diag((wide / 1.349) ** 2 / q.CONSISTENT))] + [(c.mean(0), np.cov(c.T, bias=True).reshape(4, 4)) for c in (box, v) if len(c)]
+        for _ in range(q.STEPS):
+            starts = [step(*s) for s in starts]
+        now = min(starts, key=det)
+        for _ in range(q.MOST_STEPS):
+            before, now = now, step(*now)
+            if det(before) - det(now) < q.STILL:
+                break
+        return far(*now)
 
     kept, seen = set(), {}
     for doc_id, _, lang, source in ids:
