@@ -6,14 +6,20 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Entries after which the cache of a Python worker starts anew.
 CACHE = 250_000
 NONE = 1 << 60
+#: Parts up to which a word's ranks are scanned.
+SHORT = 256
 #: White space as Unicode defines it; str.split() also cuts at the four information separators.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _SPACE, _SEPARATORS = regex.compile(SPACE), regex.compile(r"[\x1c-\x1f]")
@@ -55,6 +61,8 @@ class WordBPE:
         symbols = [self.alphabet[b] for b in word.encode()]
         symbols[-1] += self.suffix
         parts = [self.vocab[s] for s in symbols if s in self.vocab]
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
         rank = self.ranks.get
         ranks = [rank(p, NONE) for p in zip(parts, parts[1:])]
         while ranks:
@@ -70,6 +78,29 @@ class WordBPE:
                 ranks[i] = rank((parts[i], parts[i + 1]), NONE)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same for words whose rank array would be scanned too often: ranks in a heap, boundaries in a linked list. Entries
+        whose pair has changed meanwhile are passed over; of equal ranks the leftmost comes first, as in the scan."""
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        pairs, end = self.pairs, len(parts)
+        heap = [(pairs[p][0], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i] if parts[i] >= 0 else end
+            if j >= end or parts[i] != a or parts[j] != b:
+                continue
+            parts[i], parts[j] = pairs[a, b][1], -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (p := (parts[i], parts[k])) in pairs:
+                    heappush(heap, (pairs[p][0], i, *p))
+            h = before[i]
+            if h >= 0 and (p := (parts[h], parts[i])) in pairs:
+                heappush(heap, (pairs[p][0], h, *p))
+        return [p for p in parts if p >= 0]
+
     def _segment(self, text: str) -> list[int]:
         text = unicodedata.normalize("NFC", text)
         # lower case goes character by character: no final sigma
@@ -128,13 +159,14 @@ def loaded(path: str) -> WordBPE:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """op7: doc_id, n_tokens, ids_sha256, decoded_sha256; a null text is empty. One pass, no shuffle."""
+    """op7: doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; a null text is empty, repeated rows and null ids stay as
+    they are, an empty table gives no row. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
         for b in batches:
             n, ids, decoded = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in chain.from_iterable(slices(b.column(1))):
                 k, i, d = bpe.digests(text or "")
                 n.append(k)
                 ids.append(hashlib.sha256(i.encode()).hexdigest())
