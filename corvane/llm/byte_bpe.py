@@ -6,15 +6,16 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import public_tokenizers
+import pyarrow as pa
 import regex
 
 from .word_bpe import byte_alphabet
 
-#: Parts remembered by each of a Python worker's two cache generations; texts encoded at once.
-CACHE, TEXTS = 600_000, 500
+#: Parts remembered by each of a Python worker's two cache generations.
+CACHE = 500_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PART = re.compile(r" ?\S+|\s")
 #: Runs of white space, and characters on which Python and the split pattern disagree about being white space.
@@ -58,9 +59,10 @@ class ByteBPE:
             return _CUT.split(text)
         return _PART.findall(text)
 
-    def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TEXTS):
-            split = [self.parts(t) if t else [] for t in texts[at : at + TEXTS]]
+    def encode(self, texts: Iterable[Sequence[str | None]]) -> Iterator[bytes]:
+        """Ids of each text, from lists of texts of which each is worked on at once."""
+        for some in texts:
+            split = [self.parts(t) if t else [] for t in some]
             if len(self._young) > CACHE:  # what is used again moves to the young generation, the rest goes with the old one
                 self._old, self._young = self._young, {}
             young, old = self._young, self._old
@@ -69,6 +71,12 @@ class ByteBPE:
             for parts in split:
                 yield b"".join([young[p] for p in parts])
 
+    def rest(self) -> None:
+        """At a task's end: a worker that waits holds CACHE parts at most."""
+        if len(self._young) + len(self._old) > CACHE:
+            self._old = {}
+        pa.default_memory_pool().release_unused()
+
 
 _LOADED: dict[str, ByteBPE] = {}
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,12 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame, inside: bool = True) ->
     return held.where(hit if inside else ~hit).select(*df.columns)
 
 
+def slices(column: pa.Array, n: int = 256) -> Iterator[list]:
+    """The column's values as Python lists of n, so that a worker never holds a whole batch of texts as strings."""
+    for at in range(0, len(column), n):
+        yield column.slice(at, n).to_pylist()
+
+
 def words(text: Column) -> Column:
     """Words between ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

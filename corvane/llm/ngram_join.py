@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_in, stage
+from .common import discard, maybe_in, slices, stage
 from .components import connected_components
 from .shingles import set_id, sets_of
 
@@ -75,12 +75,6 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def _chunks(column: pa.Array) -> Iterator[list]:
-    texts = column.to_pylist()
-    for at in range(0, len(texts), TEXTS):
-        yield texts[at : at + TEXTS]
-
-
 def _signature(s: np.ndarray) -> list[int]:
     """Parity of the set's members in each of SIGNATURE cells; bits that differ bound the symmetric difference from below."""
     odd = np.bincount(((s >> np.uint64(24)) & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
@@ -96,7 +90,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         counts = np.zeros(SKETCH, np.uint64)
         for b in batches:
             n, ids, sigs = [], [], []
-            for texts in _chunks(b.column(1)):
+            for texts in slices(b.column(1), TEXTS):
                 sets = list(sets_of(texts, width))
                 n += map(len, sets)
                 ids += map(set_id, sets)
@@ -129,7 +123,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = held.value, set()
         for b in batches:
-            for texts in _chunks(b.column(0)):
+            for texts in slices(b.column(0), TEXTS):
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for s in sets_of(texts, width):
                     if not len(s) or (one := set_id(s)) in seen:
@@ -167,7 +161,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for texts in _chunks(b.column(0)):
+            for texts in slices(b.column(0), TEXTS):
                 sets = [s for s in sets_of(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "hashes"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import loaded
-from .common import stage
+from .common import slices, stage
 
 LENGTH = 2048
 #: Pieces a group of bins is dealt on average.
@@ -41,7 +41,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
         bpe = loaded(tokenizer)
         for b in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), bpe.encode(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), bpe.encode(slices(b.column(1))), strict=True):
                 ids += end
                 start = 0
                 for i, n in enumerate(cut_lengths(len(ids) // 4, length)):
@@ -50,6 +50,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        bpe.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled rows of each class, by smallest hash, that the dictionaries and (others) the calibration are fitted on at most.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 2000, 4000
 DICTIONARY_BYTES, BLOCK, LEVEL, SAMPLE_BYTES = 112_640, 4096, 3, 16 << 20
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_RO
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(t) for t in b.column(1).to_pylist()], pa.list_(pa.binary()))], ["place", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_spread(t) for texts in slices(b.column(1)) for t in texts], pa.list_(pa.binary()))], ["place", "blocks"])
 
     dictionaries = {}
     for q in (0, 1):
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, dictionary_rows: int = DICTIONARY_RO
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.features(t) for t in b.column(2).to_pylist()]
+            found = [shared.value.features(t) for texts in slices(b.column(2)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.float64()))], ["place", "quality", "x"])
 
     chosen = texts.join(at([(i, q, place) for q in (0, 1) for place, i in by[q][cut[q] :]]), "doc_id").where(F.octet_length("text") > 0)
@@ -194,7 +196,7 @@ def score_column(docs: DataFrame, model: CompressionModel, keep: list[str], name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            scores = pa.array([m.score(t) for t in b.column(at).to_pylist()], pa.float64())
+            scores = pa.array([m.score(t) for texts in slices(b.column(at)) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], [*keep, name])
 
     return docs.select(*cols).mapInArrow(run, schema)

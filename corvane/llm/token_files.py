@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import loaded
-from .common import discard, scratch_path, stage
+from .common import discard, scratch_path, slices, stage
 
 MAGIC = b"CTOK0001"
 END_ID = 2
@@ -52,7 +52,7 @@ def sample_ids(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, most: int
         bpe = loaded(tokenizer)
         for b in batches:
             out = []
-            for doc_id, x in zip(b.column(0).to_pylist(), bpe.encode(b.column(1).to_pylist()), strict=True):
+            for doc_id, x in zip(b.column(0).to_pylist(), bpe.encode(slices(b.column(1))), strict=True):
                 blocks = max(1, -(-len(x) // most))
                 at = zlib.crc32(str(doc_id).encode()) % blocks * most
                 out.append(x[at : at + most])
@@ -86,8 +86,9 @@ def encode_frames(docs: DataFrame, tokenizer: str, dictionary: bytes) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, press = loaded(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_dict(dictionary))
         for b in batches:
-            ids = [x + end for x in bpe.encode(b.column(1).to_pylist())]
+            ids = [x + end for x in bpe.encode(slices(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())], ["doc_id", "n", "frame"])
+        bpe.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, _FRAMES)
 

@@ -341,7 +341,24 @@ def test_tokenizers_match_the_library():
             if own:
                 assert own.digests(text) == (len(e.ids), " ".join(map(str, e.ids)), t.decode(e.ids, skip_special_tokens=False))
             else:
-                assert np.frombuffer(next(ByteBPE(path).encode([text])), "<u4").tolist() == e.ids
+                assert np.frombuffer(next(ByteBPE(path).encode([[text]])), "<u4").tolist() == e.ids
+
+
+def test_long_words_merge_alike(monkeypatch):
+    """The heap gives what the scanned array gives, and a word of a million letters ends soon."""
+    own, rnd = word_bpe.WordBPE(WORD_BPE), random.Random(6)
+    found = []
+    for short in (1 << 60, 0):
+        monkeypatch.setattr(word_bpe, "SHORT", short)
+        r = random.Random(6)
+        words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 400))) for letters in ("ab", "the", "aeioulrstn", "aaab", "éaz") for _ in range(40)]
+        found.append([own.merge(w) for w in words])
+    assert found[0] == found[1]
+    import time
+
+    began = time.time()
+    own.merge("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)))
+    assert time.time() - began < 60
 
 
 def test_word_bpe_query(spark, docs, odd, empty):
