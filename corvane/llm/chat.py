@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Strings that the template or common chat templates give a meaning; in texts each gets a backslash in front.
+#: Strings that the template or common chat templates give a meaning; in texts each is broken by a backslash after its first character.
 CONTROL = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
-_ANY = "(" + "|".join(re.sub(r"([\[\]|/<>])", r"\\\1", c).replace(r"\<", "<").replace(r"\>", ">").replace(r"\/", "/") for c in CONTROL) + ")"
+#: What follows the first character of one; no end of one begins another, so matches never overlap.
+REST = "(?:" + "|".join(re.sub(r"([\[\]|])", r"\\\1", c[1:]) for c in CONTROL) + ")"
 TURN, TEXT, END, OPEN, CLOSE = "<|turn|>", "\n<|text|>", "\n<|end|>", "<s>", "</s>"
 LOSS_ROLE = "assistant"
 
 
 def escape(text: Column) -> Column:
-    """A backslash before each control string; backslashes already there stay, so it can be undone."""
-    return F.regexp_replace(text, _ANY, r"\\$1")
+    """One more backslash after the first character of each control string, broken by backslashes before or not; so none is left
+    whole and it can be undone."""
+    return F.regexp_replace(text, r"([<\[])(\\*" + REST + ")", r"$1\\$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\" + _ANY, "$1")
+    return F.regexp_replace(text, r"([<\[])\\(\\*" + REST + ")", "$1$2")
 
 
 def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
@@ -45,13 +47,15 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     paths = stage(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("dist")), "chat-paths")
     jump = stage(jump, "chat-jump")
     roots = nodes.select("tree", "node").join(jump, ["tree", "node"], "left_anti").withColumn("_root", F.lit(True))
-    step, most = 1, max(1, nodes.count())
-    while step <= most and not jump.isEmpty():
+    # after k rounds a node still jumps if it lies 2^k deep or more, or leads into a cycle. Whoever lies deeper has an ancestor
+    # that lies just so deep, so once a round ends no jump, only cycles are left: rounds grow with the deepest tree's logarithm
+    step, before, left = 1, -1, jump.count()
+    while left not in (0, before):
         further = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
         paths = stage(paths.unionByName(further), "chat-paths")
         onward = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
         jump = stage(jump.join(onward, ["tree", "up"]).select("tree", "node", F.col("far").alias("up")), "chat-jump")
-        step *= 2
+        step, before, left = 2 * step, left, jump.count()
     scored = paths.join(nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("_score")), ["tree", "node"]).join(roots, ["tree", "node"], "left")
     whole = scored.groupBy("tree", "leaf").agg(F.avg("_score").alias("_score"), F.max("_root").alias("_root")).where("_root")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("_score").desc(), "leaf"))
@@ -77,7 +81,7 @@ def format_paths(paths: DataFrame) -> DataFrame:
 def parse_turns(formatted: Column) -> Column:
     """array<struct<role, text>> read from a formatted conversation."""
     inside = F.substring(formatted, F.lit(len(OPEN) + 1), F.length(formatted) - len(OPEN) - len(CLOSE))
-    parts = F.filter(F.split(inside, r"(?<!\\)<\|turn\|>"), lambda _, i: i > 0)
+    parts = F.filter(F.split(inside, r"<\|turn\|>"), lambda _, i: i > 0)
 
     def turn(part: Column) -> Column:
         role = F.substring_index(part, TEXT, 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import CLOSE, CONTROL, END, LOSS_ROLE, OPEN, TEXT, TURN
+from .chat import CLOSE, END, LOSS_ROLE, OPEN, REST, TEXT, TURN
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,8 +27,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(named.c, s.doc
 FROM s LEFT JOIN named ON named.s = s.s LEFT JOIN sets ON sets.s = s.s LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = sets.id
 """
 
-_CONTROL = "(" + "|".join("".join(f"\\{c}" if c in "[]|/" else c for c in x) for x in CONTROL) + ")"
-_ESCAPED = r"length(regexp_replace({}, '" + _CONTROL + r"', '\\\1', 'g'))"
+_ESCAPED = r"length(regexp_replace({}, '([<\[])(\\*" + REST + r")', '\1\\\2', 'g'))"
 _AROUND = len(TURN) + len(TEXT) + len(END)
 
 CHAT = rf"""
