@@ -50,5 +50,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 42) -> DataFr
     """Law `rows`: doc_id, size (UTF-8 bytes plus 8), text_crc32, law, shard, slot, grown_shard (null)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = interleave(rows, "source", F.col("doc_id"), shards, seed)
+    # rows that share an id differ in size or text, or else in nothing, so a task that runs again finds the same order
+    out = interleave(rows, "source", F.concat_ws(":", "doc_id", "size", "text_crc32"), shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
