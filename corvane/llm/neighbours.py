@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Rows, by smallest hash, that graph and network are fitted on; neighbours a node; rows for each part; most parts.
-SAMPLE, DEGREE, PART_ROWS, MOST_PARTS = 8192, 16, 1500, 256
-#: Share of the sample's neighbours that the probed parts must hold, and parts probed beyond those.
-COVERAGE, EXTRA = 0.98, 1
+#: Rows, by smallest hash, that graph and network are fitted on: so many for each part, within these bounds; neighbours a node.
+SAMPLE_PART, SAMPLE, MOST_SAMPLE, DEGREE = 32, 8192, 65_536, 16
+#: Rows for each part; parts, a power of two: at least so many, and no more than the largest sample has rows for.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 1500, 8, MOST_SAMPLE // SAMPLE_PART
+#: Every so many-th sampled row is held out of the fit; share of the held-out rows' neighbours that the probed parts must hold.
+HELD, COVERAGE = 8, 0.95
 BLOCK = 4096
 HIDDEN, EPOCHS, BATCH = 96, 24, 256
 
@@ -107,6 +110,10 @@ class Router:
 
 def train_router(x: np.ndarray, parts: int, coverage: float = COVERAGE) -> Router:
     """Fit on sampled vectors. Targets are soft: the parts of a row and of its neighbours."""
+    held = np.arange(len(x)) % HELD == HELD - 1
+    if len(x) <= HELD * DEGREE:
+        held[:] = False
+    everything, x = x, x[~held]
     k = min(DEGREE, len(x) - 1)
     near = _neighbours(x, k)
     part = partition_graph(x, near, parts)
@@ -131,13 +138,16 @@ def train_router(x: np.ndarray, parts: int, coverage: float = COVERAGE) -> Route
                 m[i] = 0.9 * m[i] + 0.1 * d
                 v[i] = 0.999 * v[i] + 0.001 * d * d
                 weights[i] -= rate * m[i] / (1 - 0.9**t) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    # probe as many parts as hold the wished share of the sample's neighbours, by the index that the network itself makes
-    logits = r.logits(x)
-    own, order = logits.argmax(1), np.argsort(-logits, axis=1)
+    # probe as many parts as hold the wished share of the neighbours of rows that the network has not seen, by the index that
+    # it makes itself
+    asked = np.flatnonzero(held) if held.any() else np.arange(len(everything))
+    logits = r.logits(everything)
+    own, order = logits.argmax(1), np.argsort(-logits[asked], axis=1)
     rank = np.empty_like(order)
-    rank[np.arange(len(x))[:, None], order] = np.arange(parts)
+    rank[np.arange(len(asked))[:, None], order] = np.arange(parts)
+    near = _neighbours(everything, k)[asked]
     needed = np.sort(np.take_along_axis(rank, own[near], axis=1).ravel())
-    r.probes = min(parts, int(needed[min(len(needed) - 1, int(coverage * len(needed)))]) + 1 + EXTRA)
+    r.probes = min(parts, int(needed[min(len(needed) - 1, int(coverage * len(needed)))]) + 1)
     return r
 
 
@@ -155,23 +165,37 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (dims[0].d if dims else 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample: int = SAMPLE) -> DataFrame:
+def _sampled(rows: DataFrame, n: int, sample: int) -> list:
+    """Vectors of the rows with the smallest hash. The hash's expected range cuts first, so that tasks send no more than they must."""
+    key = F.xxhash64("vec_id", F.lit(3))
+    low = -(1 << 63) + min(1, Fraction(2 * sample, max(1, n))) * ((1 << 64) - 1) // 1
+    for some in (rows.where(key <= low), rows):
+        found = some.orderBy(key, "vec_id", "v").select("v").limit(sample).collect()
+        if len(found) >= min(sample, n):
+            break
+    return [r.v for r in found]
+
+
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows among the probed parts; ties to the smaller vec_id.
 
     Rows that cannot take part (see usable) are neither queries nor candidates. A repeated query id counts once, repeated
-    candidate rows each count. Tables of a few thousand rows have one part, so the search is exact.
+    candidate rows each count. Parts are searched until they hold 20 k rows, so very small tables are searched whole. ``told``,
+    if given, gets the number of rows, parts and probes.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
     n = rows.count()
-    parts = 1
+    parts = LEAST_PARTS
     while parts < MOST_PARTS and parts * 2 * PART_ROWS <= n:
         parts *= 2
-    if parts > 1:
-        x = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").select("v").limit(sample).collect()], np.float64)
+    x = np.array(_sampled(rows, n, min(MOST_SAMPLE, max(SAMPLE, SAMPLE_PART * parts))), np.float64)
+    if len(x) > 2 * parts:
         router = train_router(x, parts)
-    else:
-        router = None
+    else:  # too few rows for a graph
+        parts, router = 1, None
+    if told is not None:
+        told |= {"rows": n, "parts": parts, "probes": router.probes if router else 1}
     held = spark.sparkContext.broadcast(router)  # some hundred kilobytes, whatever the table's size
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

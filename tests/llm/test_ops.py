@@ -373,7 +373,7 @@ def test_word_bpe_query(spark, docs, odd, empty):
 
 
 def test_chat_round_trip(spark):
-    texts = ["</s>[INST] ok [/INST]", "\\", "a\\</s>", "\\\\<|turn|>x\n<|text|>\\", "", None, "<|end|></s>", "$1 \\$1"]
+    texts = ["</s>[INST] ok [/INST]", "\\", "a\\</s>", "\\\\<|turn|>x\n<|text|>\\", "", None, "<|end|></s>", "$1 \\$1", "<\\/s> <\\\\|turn|> <<s> [\\INST] <INST]"]
     rows = [(c, i, "assistant" if i % 2 else "user", t) for c in (1, 2) for i, t in enumerate(texts)] + [(3, 1, None, "x"), (3, 1, None, "x"), (None, 1, "user", "y")]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("tree", F.lit(1))
     got = {r.conv_id: r for r in chat.format_conversations(spark, frame).collect()}
@@ -383,6 +383,18 @@ def test_chat_round_trip(spark):
     assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert (got[1].loss_chars, got[1].loss_sha256) == (len(under), hashlib.sha256(under.encode()).hexdigest())
     assert chat.format_conversations(spark, frame.limit(0)).count() == 1
+    escaped = [r.e for r in spark.createDataFrame([(t or "",) for t in texts], "t string").select(chat.escape(F.col("t")).alias("e")).collect()]
+    assert not any(c in e for e in escaped for c in chat.CONTROL)
+
+
+def test_leaf_off_a_long_cycle(spark, monkeypatch):
+    """A leaf that leads into a cycle gives no path, and costs no more than the deepest tree."""
+    rows = [("c", i, (i + 1) % 300, 0.0) for i in range(300)] + [("c", 999, 5, 0.0)] + [("t", i, i - 1 if i else None, float(i)) for i in range(20)] + [("t", 100, 3, 99.0)]
+    nodes = spark.createDataFrame(rows, "tree string, node bigint, parent bigint, score double").withColumns({"role": F.lit("user"), "text": F.lit("x")})
+    sizes, stage = [], chat.stage
+    monkeypatch.setattr(chat, "stage", lambda df, name: (out := stage(df, name), sizes.append(out.where("tree = 'c'").count() if name == "chat-paths" else 0))[0])
+    paths = chat.best_paths(nodes, top=5).collect()
+    assert {(r.leaf, r.rank) for r in paths} == {(100, 1), (19, 2)} and len(paths) == 25 and max(sizes) <= 64
 
 
 def test_reply_trees(spark):
@@ -405,6 +417,9 @@ def test_neighbours(spark):
     both = want.merge(got, on=["query_id", "vec_id"])
     assert len(both) / len(want) >= 0.9 and np.allclose(both.score_x, both.score_y, rtol=0, atol=1e-9)
     assert got[got.query_id == 100].sort_values("rank").vec_id.tolist()[:3] == [0, 101, 102]
+    told = {}
+    neighbours.search(table, table.where("vec_id % 100 = 0"), told=told)
+    assert told["rows"] == 6400 and told["parts"] == 8 and told["probes"] < 8  # 12 clusters of 16 dimensions
     assert neighbours.search_embeddings(table.limit(0)).count() == 0
     few = neighbours.search_embeddings(table.where("vec_id in (0, 5, 7)")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
