@@ -5,8 +5,8 @@ count sketch of all shingles, and any order is exact. An entry far down a set's
 without an entry near the top are dropped when they are built; the rest is skipped in blocks of neighbouring positions
 whose best possible overlap falls short.
 
-Answers: equal sets are one set. Members of a list are compared with its leader first, and only pairs across the components
-so found are compared with each other. Contents are read for sets alone that signatures leave in a pair. How many links
+Answers: equal sets are one set, and of lists of the same sets one is kept. Members of a list are compared with its leader
+first, then with their likeliest partner, and only pairs across the components so found are compared with each other. Contents are read for sets alone that signatures leave in a pair. How many links
 each set has is derived from one hub of its component: with each set's differences from the hub known, the overlap of any
 two sets is the hub's size, less what either lacks, plus what their differences share. Nothing is capped.
 """
@@ -32,8 +32,9 @@ WIDTH, PERCENT = 4, 85
 SKETCH, PIECE, SIGNATURE = 1 << 20, 1 << 16, 1024
 #: List entries of one shingle that share a leader; longer lists are salted. Positions in a block to skip, entries in a block to compare.
 SALT, POSITIONS, BLOCK = 50_000, 8, 1024
-#: Leader rounds end when comparing all pairs across components makes at most this many pairs a list entry, or after so many.
-PAIRS, ROUNDS = 64, 8
+#: Rounds of likeliest partners end when one takes less than 1 / FALL of the pairs across components and links less than 1 / FEW as many
+#: as there are list entries, or all rounds after so many; then all pairs across components are compared.
+FALL, FEW, ROUNDS = 16, 1000, 16
 #: Texts and candidate pairs that are worked on at once.
 TEXTS, CHUNK = 512, 1 << 18
 #: Differing shingles in a block whose links are counted, and columns of them that are multiplied out at once.
@@ -156,6 +157,15 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return postings.withColumns(seen).where(fits | (F.col("salt") >= 0)).drop(*seen).dropDuplicates(["token", "set_id"])
 
 
+def _first_of_equal(lists: DataFrame) -> DataFrame:
+    """Of lists of the same sets only the one that comes first in the order of rarity, which all its sets share: no pair has its
+    first common shingle in another. Near copies share most of their lists. Lists are taken as equal by 128 bits and their length."""
+    key = [F.bit_xor(F.xxhash64("set_id", F.lit(i))).alias(f"_h{i}") for i in (1, 2)]
+    by = lists.groupBy("token").agg(*key, F.count(F.lit(1)).alias("_m"), F.sum(F.col("pos").cast("bigint")).alias("_at"))
+    kept = by.groupBy("_h1", "_h2", "_m").agg(F.min_by("token", "_at").alias("token")).select("token")
+    return lists.join(kept, "token", "left_semi")
+
+
 def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(set_id, hashes) of the wanted sets (set_id, rep), read again from the documents that represent them."""
 
@@ -430,31 +440,35 @@ class _Join:
     def _find(self) -> None:
         counts = _summed(self._scanned.where(F.col("piece").isNotNull()).select("piece", "data"))
         known = self.docs.where(F.col("doc_id").isNotNull())
-        lists = stage(_lists(_postings(known, counts, self.width, self.percent), self.percent), "lists")
+        whole = stage(_lists(_postings(known, counts, self.width, self.percent), self.percent), "lists")
+        lists = stage(_first_of_equal(whole), "lists")
+        discard(whole)
         full = self._scanned.where(F.col("piece").isNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull())
         sets = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.sets = stage(sets.join(lists.select("set_id").distinct(), "set_id", "left_semi"), "signed")
         same = _same_documents(self.members)
         self.same = stage(same.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "same")
         self.comps = connected_components(same.where("a <> b"))
-        before, stalled = 0, 0
+        before, led, linked = 0, True, 0
         for turn in range(ROUNDS + 1):
             entries = stage(lists.join(self._named().select("set_id", "comp"), "set_id"), "entries")
             size, pairs = _crossing(entries)
             if not pairs:
                 discard(entries)
                 break
-            # leaders first; once they no longer halve what is left, twice each set's likeliest partner; then all pairs across components
-            stalled += bool(stalled) or (turn > 0 and 2 * pairs > before)
-            last = turn == ROUNDS or stalled > 2 or (turn > 0 and pairs <= PAIRS * size)
+            # leaders first; once they no longer halve what is left, each entry's likeliest partner while that joins much. Only then all
+            # pairs across components: before, most of them lie in one group, and their number grows with the square of its size
+            last = turn == ROUNDS or (not led and FALL * (before - pairs) < before and FEW * linked < size)
+            led = led and (turn == 0 or 2 * pairs <= before)
             before = pairs
-            if last or stalled:
+            if last or not led:
                 found = _cross_pairs(entries, self.sets, not last, self.percent)
             else:
                 found = _leader_pairs(entries, turn, self.percent)
             near = stage(_near(found, self.sets, self.percent), "near")
             discard(entries)
             links = stage(_verified(near, self.contents(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), self.percent), "links")
+            linked = links.count()
             comps, self.comps = self.comps, connected_components(links, self.comps)
             discard(near, links, comps)
             if last:

@@ -114,6 +114,13 @@ def test_join_yields_all_links(spark, docs, monkeypatch):
     assert counts == {i: sum(min(ids) in p for p in want) for ids in sets.values() for i in ids}
 
 
+def test_join_keeps_the_first_of_equal_lists(spark):
+    """Tokens 1 and 2 list the same sets, 2 earlier; 3 has one set more, 4 as many others."""
+    rows = [(1, 7, 5), (1, 8, 3), (2, 7, 4), (2, 8, 2), (3, 7, 6), (3, 8, 4), (3, 9, 0), (4, 7, 7), (4, 9, 1)]
+    lists = spark.createDataFrame([(t, -1, i, 50, pos) for t, i, pos in rows], "token bigint, salt bigint, set_id bigint, n int, pos int")
+    assert {(r.token, r.set_id, r.pos) for r in ngram_join._first_of_equal(lists).collect()} == {r for r in rows if r[0] != 1}
+
+
 def test_pipeline_takes_five_words_at_80_percent(spark):
     """Scattered edits that leave 0.80 of 5-word shingles but under 0.85 of 4-word ones; op1 keeps its own values."""
     import corpus_pipeline
