@@ -114,6 +114,22 @@ def test_join_yields_all_links(spark, docs, monkeypatch):
     assert counts == {i: sum(min(ids) in p for p in want) for ids in sets.values() for i in ids}
 
 
+def test_join_candidates_of_a_group_stay_few(spark, monkeypatch):
+    """Copies with scattered edits, three quarters of whose pairs link: what leaders leave apart is not compared all with all."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(100):
+        w = [f"w{i}" for i in range(280)]
+        for j in range(3):
+            w[100 + rnd.randrange(60)] = f"e{k}x{j}"
+        rows.append((k, " ".join(w)))
+    made, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda near, *rest: made.append(near.count()) or verified(near, *rest))
+    got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), links=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
+    assert sum(r.n_links for r in got) == 2 * 3700 and sum(made) < 3 * len(rows)
+
+
 def test_join_keeps_the_first_of_equal_lists(spark):
     """Tokens 1 and 2 list the same sets, 2 earlier; 3 has one set more, 4 as many others."""
     rows = [(1, 7, 5), (1, 8, 3), (2, 7, 4), (2, 8, 2), (3, 7, 6), (3, 8, 4), (3, 9, 0), (4, 7, 7), (4, 9, 1)]
