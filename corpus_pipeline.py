@@ -28,8 +28,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row a piece of a document with its place."""
-    return packing.pack_documents(docs, BYTE_BPE)
+    """Token sequences: a row a piece of a document with its place. The workers also serve the stages of a next run, so they keep nothing."""
+    return packing.pack_documents(docs, BYTE_BPE, remember=False)
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_join", deduplicate), ("packing", pack)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -71,11 +72,15 @@ class ByteBPE:
             for parts in split:
                 yield b"".join([young[p] for p in parts])
 
-    def rest(self) -> None:
-        """At a task's end: a worker that waits holds CACHE parts at most."""
-        if len(self._young) + len(self._old) > CACHE:
+    def rest(self, remember: bool = True) -> None:
+        """At a task's end: a worker that waits holds CACHE parts at most, and without ``remember`` none."""
+        if not remember:
+            self._young, self._old = {}, {}
+        elif len(self._young) + len(self._old) > CACHE:
             self._old = {}
         pa.default_memory_pool().release_unused()
+        if not remember and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc alone has it
+            trim(0)
 
 
 _LOADED: dict[str, ByteBPE] = {}

@@ -33,8 +33,8 @@ def cut_lengths(n: int, length: int = LENGTH) -> list[int]:
     return ([head] if head else []) + [length] * (n // length)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece of each document, its end id included; a null text is empty."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, remember: bool = True) -> DataFrame:
+    """A row for each piece of each document, its end id included; a null text is empty. remember: see pack_documents."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        bpe.rest()
+        bpe.rest(remember)
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
@@ -99,11 +99,12 @@ def pack(pieces: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
     return dealt.groupBy("_g").applyInPandas(run, f"{_PIECES}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, remember: bool = True) -> DataFrame:
     """op2: a row for each piece of each row of docs, with its sequence and place.
 
     A null or empty text is one piece of the end id alone. Repeated rows and null ids are packed like any other. An empty
-    table gives no row.
+    table gives no row. remember: Python workers keep known parts of texts for their next task, which saves time, but holds
+    memory in workers that other operators use afterwards.
     """
-    pieces = stage(tokenized_pieces(docs, tokenizer, length), "pieces")
+    pieces = stage(tokenized_pieces(docs, tokenizer, length, remember=remember), "pieces")
     return pack(pieces, max(1, pieces.count() // group), length)

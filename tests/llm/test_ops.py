@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, html_text, neighbours, ngram_join, packing, quality_classifier, quality_rules, sharding, token_files, word_bpe
+from corvane.llm import byte_bpe, chat, html_text, neighbours, ngram_join, packing, quality_classifier, quality_rules, sharding, token_files, word_bpe
 from corvane.llm.catalogue import BYTE_BPE, QUERIES, SQL, WORD_BPE
 from corvane.llm.byte_bpe import ByteBPE
 
@@ -193,6 +194,32 @@ def test_packing(spark, docs, byte_ids, odd, empty):
     assert packing.pack_documents(long, BYTE_BPE, length=16, group=100).select((F.col("sequence_id") / (1 << 40)).cast("int")).distinct().count() > 3
 
 
+def test_pipeline_packing_leaves_no_parts_in_workers(monkeypatch):
+    import corpus_pipeline
+
+    class Frame:
+        """Runs what a Python worker would, in this process."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.pieces = list(run(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words of a text", None])], ["doc_id", "text"])])))
+            return self
+
+        def count(self):
+            return 2
+
+    monkeypatch.setattr(byte_bpe, "_LOADED", {})
+    monkeypatch.setattr(packing, "stage", lambda df, _: df)
+    monkeypatch.setattr(packing, "pack", lambda pieces, *_: pieces)
+    held = lambda: sum(len(b._young) + len(b._old) for b in byte_bpe._LOADED.values())
+    whole = packing.pack_documents(Frame(), BYTE_BPE).pieces
+    assert held() == 5
+    assert corpus_pipeline.pack(None, Frame(), "").pieces == whole and sum(b.num_rows for b in whole) == 2
+    assert held() == 0
+
+
 def test_sum_of_squares_places_by_the_rule():
     rnd = np.random.default_rng(2)
     sizes = rnd.integers(1, 31, 300)
