@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,23 @@ def slices(column: pa.Array, n: int = 256) -> Iterator[list]:
         yield column.slice(at, n).to_pylist()
 
 
+def give_back() -> None:
+    """Memory that a Python worker holds and does not use goes back to the system: Arrow's pool keeps some 100 MB after texts."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker, which waits for its next task, holds no free memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def words(text: Column) -> Column:
     """Words between ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_in, slices, stage
+from .common import discard, maybe_in, resting, slices, stage
 from .components import connected_components
 from .shingles import set_id, sets_of
 
@@ -102,7 +102,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         p = _pieces(_split(counts))
         yield pa.RecordBatch.from_arrays([*[pa.nulls(p.num_rows).cast(k) for k in kinds[:4]], p.column(0), p.column(1)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, set_id bigint, sig array<bigint>, piece int, data binary")
+    return docs.select("doc_id", "text").mapInArrow(resting(run), "doc_id bigint, n bigint, set_id bigint, sig array<bigint>, piece int, data binary")
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -143,7 +143,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "salt", "set_id", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, salt bigint, set_id bigint, n int, pos int")
+    return docs.select("text").mapInArrow(resting(run), "token bigint, salt bigint, set_id bigint, n int, pos int")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [s for s in sets_of(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "hashes"])
 
-    found = maybe_in(docs, "doc_id", wanted.select("rep")).select("text").mapInArrow(run, "set_id bigint, hashes binary")
+    found = maybe_in(docs, "doc_id", wanted.select("rep")).select("text").mapInArrow(resting(run), "set_id bigint, hashes binary")
     return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
@@ -205,7 +205,7 @@ def _verified(near: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return whole.select("rep_a", "rep_b", "h_a", "h_b").mapInArrow(run, "a bigint, b bigint")
+    return whole.select("rep_a", "rep_b", "h_a", "h_b").mapInArrow(resting(run), "a bigint, b bigint")
 
 
 def _leader_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, nearest: bool, percent: in
     units = _units(entries, sets)
     keys = ["token", "u", "v"]
     dealt = units.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(resting(run), "a bigint, b bigint").distinct()
 
 
 def _crossing(entries: DataFrame) -> tuple[int, int]:
@@ -376,7 +376,7 @@ def _differences(nodes: DataFrame, contents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["comp", "set_id", "n", "hub_n", "common", "diff"])
 
     joined = rows.join(hubs, "comp").select("comp", "set_id", "hashes", "hub_hashes")
-    return joined.mapInArrow(run, "comp bigint, set_id bigint, n bigint, hub_n bigint, common bigint, diff binary")
+    return joined.mapInArrow(resting(run), "comp bigint, set_id bigint, n bigint, hub_n bigint, common bigint, diff binary")
 
 
 def _links(nodes: DataFrame, sizes: DataFrame, diffs: DataFrame, pairs: bool, percent: int) -> DataFrame:
@@ -415,7 +415,7 @@ def _links(nodes: DataFrame, sizes: DataFrame, diffs: DataFrame, pairs: bool, pe
 
     names = ("a", "b") if pairs else ("set_id", "n_links")
     keys = ["comp", "u", "v"]
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{k} bigint" for k in names))
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(resting(run), ", ".join(f"{k} bigint" for k in names))
     known = nodes.join(sizes.where("_two").select("comp"), "comp", "left_semi")
     if pairs:
         return found.unionByName(known.groupBy("comp").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).select("a", "b"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import loaded
-from .common import slices, stage
+from .common import give_back, slices, stage
 
 LENGTH = 2048
 #: Pieces a group of bins is dealt on average.
@@ -38,6 +38,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other operators left
         bpe = loaded(tokenizer)
         for b in batches:
             out: list[tuple] = []

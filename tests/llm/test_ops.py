@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, chat, html_text, neighbours, ngram_join, packing, quality_classifier, quality_rules, sharding, token_files, word_bpe
+from corvane.llm import byte_bpe, chat, common, html_text, neighbours, ngram_join, packing, quality_classifier, quality_rules, sharding, token_files, word_bpe
 from corvane.llm.catalogue import BYTE_BPE, QUERIES, SQL, WORD_BPE
 from corvane.llm.byte_bpe import ByteBPE
 
@@ -138,6 +138,25 @@ def test_join_keeps_the_first_of_equal_lists(spark):
     assert {(r.token, r.set_id, r.pos) for r in ngram_join._first_of_equal(lists).collect()} == {r for r in rows if r[0] != 1}
 
 
+def test_join_workers_give_memory_back(monkeypatch):
+    """After a task, when its batches are gone, the worker's free memory goes back to the system."""
+    gone, seen = [], []
+
+    class Texts:
+        """Runs what a Python worker would, in this process."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words of a text", None])], ["doc_id", "text"])
+            return [seen.append(len(gone)) or b.num_rows for b in run(iter([batch]))]
+
+    monkeypatch.setattr(common, "give_back", lambda: gone.append(1))
+    assert ngram_join._scan(Texts(), 4)[0] == 2
+    assert len(gone) == 1 and not any(seen)
+
+
 def test_pipeline_takes_five_words_at_80_percent(spark):
     """Scattered edits that leave 0.80 of 5-word shingles but under 0.85 of 4-word ones; op1 keeps its own values."""
     import corpus_pipeline
@@ -267,6 +286,21 @@ def test_quality_rules(spark, docs, odd, empty):
     assert quality_rules.keep_quality(odd).columns == odd.columns
 
 
+def test_rules_leave_no_texts_behind(spark, docs, odd, tmp_path, monkeypatch):
+    """The pipeline's next stage starts with what this one staged; rows are told apart without their ids."""
+    whole = spark.read.parquet(f"{D}/documents.parquet")
+    verdict = {r.doc_id: r.kept for r in quality_rules.quality_rules(whole).collect()}
+    want = sorted(t for i, t in zip(docs.doc_id, docs.text) if verdict[i])
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    twice = whole.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).cast("bigint"))
+    twice = twice.unionByName(twice)
+    rows = quality_rules.keep_quality(twice).collect()
+    assert 0 < len(want) < len(docs) and sorted(r.text for r in rows) == sorted(want * 2) and quality_rules.keep_quality(twice).columns == twice.columns
+    left = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert left < sum(len(t.encode()) for t in docs.text) / 10
+    assert quality_rules.keep_quality(odd).count() == 0
+
+
 def test_robust_estimates_find_planted_outliers(spark):
     rnd = np.random.default_rng(5)
     rows = [("en", "s", *map(float, rnd.normal(size=4))) for _ in range(600)] + [("en", "s", 9.0, -9.0, 9.0, 9.0) for _ in range(100)]
