@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import public_tokenizers
 import pyarrow as pa
 import regex
 
+from .common import give_back
 from .word_bpe import byte_alphabet
 
 #: Parts remembered by each of a Python worker's two cache generations.
@@ -21,6 +21,23 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _PART = re.compile(r" ?\S+|\s")
 #: Runs of white space, and characters on which Python and the split pattern disagree about being white space.
 _RUN = re.compile(r"\s\s|[\x1c-\x1f]")
+#: Runs of the usual white space, and all that is neither usual white space nor surely a word's, with the mark for cuts.
+_RUNS, _MARK = ("  ", " \n", "\n ", "\n\n"), "\0"
+_UNUSUAL = re.compile(r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A part that is one word of Latin letters and perhaps one of other ASCII characters: the pattern splits it so too.
+_SIMPLE = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+class _Known(dict[str, bytes]):
+    """Ids by part; what is not known is found when it is asked for, so that a known part costs one look."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self._find = find
+
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = self._find(part)
+        return found
 
 
 class ByteBPE:
@@ -39,23 +56,42 @@ class ByteBPE:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._young, self._old = _Known(self._find), {}
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         pre = json.loads(self._tokenizer.to_str())["pre_tokenizer"]
         self._direct = pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self._model = self._tokenizer.model
+        self._tokenize = self._tokenizer.model.tokenize
         self._alphabet = byte_alphabet()
         self._words = regex.compile(public_tokenizers.PATTERN).findall
 
-    def _ids(self, part: str) -> list[int]:
-        if not self._direct or any(s in part for s in self._special):
-            return self._tokenizer.encode(part, add_special_tokens=False).ids
-        alphabet, tokenize = self._alphabet, self._model.tokenize
-        return [t.id for w in self._words(part) for t in tokenize("".join([alphabet[b] for b in w.encode()]))]
+    def _find(self, part: str) -> bytes:
+        if (found := self._old.get(part)) is not None:
+            return found
+        if not self._direct or self._special(part):
+            return array("I", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if not (simple := _SIMPLE(part)):
+            return b"".join(map(self._word, self._words(part)))
+        word, rest = simple.groups()
+        if not rest:
+            return self._word(part)
+        return (self._young.get(word) or self._old.get(word) or self._word(word)) + self._young[rest]
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            coded = word.replace(" ", self._alphabet[32])
+        else:
+            coded = "".join([self._alphabet[b] for b in word.encode()])
+        return array("I", [t.id for t in self._tokenize(coded)]).tobytes()
 
     @staticmethod
     def parts(text: str) -> list[str]:
+        if not _UNUSUAL.search(text):
+            for run in _RUNS:
+                if run in text:
+                    return _CUT.split(text)
+            # the same as below, but faster; an empty part has no ids
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(_MARK)
         if _RUN.search(text):
             return _CUT.split(text)
         return _PART.findall(text)
@@ -63,24 +99,22 @@ class ByteBPE:
     def encode(self, texts: Iterable[Sequence[str | None]]) -> Iterator[bytes]:
         """Ids of each text, from lists of texts of which each is worked on at once."""
         for some in texts:
-            split = [self.parts(t) if t else [] for t in some]
             if len(self._young) > CACHE:  # what is used again moves to the young generation, the rest goes with the old one
-                self._old, self._young = self._young, {}
-            young, old = self._young, self._old
-            for p in {p for parts in split for p in parts if p not in young}:
-                young[p] = old.get(p) or array("I", self._ids(p)).tobytes()
-            for parts in split:
-                yield b"".join([young[p] for p in parts])
+                self._old, self._young = self._young, _Known(self._find)
+            ids = self._young.__getitem__
+            for t in some:
+                yield b"".join(map(ids, self.parts(t))) if t else b""
 
     def rest(self, remember: bool = True) -> None:
         """At a task's end: a worker that waits holds CACHE parts at most, and without ``remember`` none."""
         if not remember:
-            self._young, self._old = {}, {}
+            self._young, self._old = _Known(self._find), {}
         elif len(self._young) + len(self._old) > CACHE:
             self._old = {}
-        pa.default_memory_pool().release_unused()
-        if not remember and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc alone has it
-            trim(0)
+        if remember:
+            pa.default_memory_pool().release_unused()
+        else:
+            give_back()
 
 
 _LOADED: dict[str, ByteBPE] = {}

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bits of a broadcast key filter: 2 MB, whatever the data's size.
 BITS = 1 << 24
+#: Rows of texts that go to a Python worker at once where memory is short.
+BATCH = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_thin(df: DataFrame, name: str) -> DataFrame:
+    """stage, with BATCH rows at once for Python workers, so that neither they nor the JVM hold a task's texts together."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, min(BATCH, int(before)) if int(before) > 0 else BATCH)
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete staged tables that nothing reads any more: all that was derived from them must be staged by now."""
     for df in frames:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import loaded
-from .common import discard, scratch_path, slices, stage
+from .common import discard, scratch_path, slices
+from .common import stage_thin as stage
 
 MAGIC = b"CTOK0001"
 END_ID = 2
@@ -86,8 +87,11 @@ def encode_frames(docs: DataFrame, tokenizer: str, dictionary: bytes) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, press = loaded(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_dict(dictionary))
         for b in batches:
-            ids = [x + end for x in bpe.encode(slices(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())], ["doc_id", "n", "frame"])
+            n, frames = [], []
+            for x in bpe.encode(slices(b.column(1))):  # a document's ids go before the next ones come
+                n.append(len(x) // 4 + 1)
+                frames.append(press.compress(x + end))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
         bpe.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, _FRAMES)

@@ -213,6 +213,20 @@ def test_packing(spark, docs, byte_ids, odd, empty):
     assert packing.pack_documents(long, BYTE_BPE, length=16, group=100).select((F.col("sequence_id") / (1 << 40)).cast("int")).distinct().count() > 3
 
 
+def test_a_word_is_encoded_once(monkeypatch):
+    """Words are taken from parts that have other ends, and a part that is known is looked up once."""
+    bpe, asked, looks = ByteBPE(BYTE_BPE), [], []
+    tokenize = bpe._tokenize
+    monkeypatch.setattr(bpe, "_tokenize", lambda w: asked.append(w) or tokenize(w))
+    find = bpe._young._find
+    monkeypatch.setattr(bpe._young, "_find", lambda p: looks.append(p) or find(p))
+    text = "A wörd wörd, wörd. wörd! word, word. wörd\nA wörd."
+    want = bpe._tokenizer.encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode([[text, None], [text]])] == [want, [], want]
+    assert sorted(asked) == sorted(["A", "\u0120wÃ¶rd", *["\u0120word"] * 2, ",", ".", "!", "\u010a"])
+    assert len(looks) == len(set(looks)) == 11
+
+
 def test_pipeline_packing_leaves_no_parts_in_workers(monkeypatch):
     import corpus_pipeline
 
@@ -583,6 +597,51 @@ def test_templates_of_large_hosts_and_articles(spark):
     assert all(got[1000 + i] == f"own {i}" + ("\n\nquoted now and then" if i < 8 else "") for i in range(24))
 
 
+def test_byte_bpe_parts_match_the_library():
+    rnd = random.Random(7)
+    some = [" ", " ", " ", "\n", "a", "Bc", "é", "ªb", "ß", "Ÿ", "ж", "x'll", "'", "1", "½", "²", "·", "«", ",", ".", "***", "!?", "<", "|", "<|endoftext|>", "\0", "\t", "\r\n", "\xa0", "\x85", "\x1c", "\x7f", "\u3000", "🙂"]
+    usual = some[:23]
+    texts = ["".join(rnd.choices(pool, k=rnd.randint(1, 30))) for pool in (some, usual) for _ in range(3000)]
+    texts += [" ", "\n", " a", "a ", "\na", "a\n", "a\nb", "a\0 b", "a, b. a b,\nA b!"]
+    bpe = ByteBPE(BYTE_BPE)
+    want = [e.ids for e in bpe._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode([texts[i : i + 256] for i in range(0, len(texts), 256)])] == want
+
+
+def test_frames_are_made_one_document_at_a_time(monkeypatch):
+    """Of a batch's ids only one document's are held."""
+
+    class Ids(bytes):
+        held = most = 0
+
+        def __new__(cls, *a):
+            Ids.held += 1
+            Ids.most = max(Ids.most, Ids.held)
+            return super().__new__(cls, *a)
+
+        def __add__(self, other):
+            return Ids(bytes(self) + other)
+
+        def __del__(self):
+            Ids.held -= 1
+
+    class Frame:
+        """Runs what a Python worker would, in this process."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"text {i}" for i in range(299)] + [None])], ["doc_id", "text"])])))
+
+    encode = ByteBPE.encode
+    monkeypatch.setattr(ByteBPE, "encode", lambda self, texts: map(Ids, encode(self, texts)))
+    (got,) = token_files.encode_frames(Frame(), BYTE_BPE, b"")
+    ids = [np.frombuffer(zstandard.decompress(x), "<u4").tolist() for x in got.column(2).to_pylist()]
+    assert ids[299] == [2] and all(x[-1] == 2 for x in ids) and got.column(1).to_pylist() == list(map(len, ids))
+    assert len(ids) == 300 and Ids.most <= 3
+
+
 def test_pipeline(spark):
     """run() against its operators' own answers, stage by stage, and a plain recount of what must hold."""
     import corpus_pipeline
