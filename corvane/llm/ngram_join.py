@@ -22,7 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_in, resting, slices, stage
+from .common import discard, maybe_in, resting, slices
+from .common import stage_thin as stage
 from .components import connected_components
 from .shingles import set_id, sets_of
 

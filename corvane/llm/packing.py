@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import loaded
-from .common import give_back, slices, stage
+from .common import give_back, slices
+from .common import stage_thin as stage
 
 LENGTH = 2048
 #: Pieces a group of bins is dealt on average.

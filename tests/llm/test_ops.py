@@ -157,6 +157,20 @@ def test_join_workers_give_memory_back(monkeypatch):
     assert len(gone) == 1 and not any(seen)
 
 
+def test_texts_go_to_workers_in_small_batches(spark):
+    """However many rows a task has; the session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), spark.range(0, 3000, 1, 1)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    for module in (ngram_join, packing, token_files):
+        assert sorted(r.n for r in module.stage(rows.mapInArrow(run, "n bigint"), "batches").collect()) == [952, 1024, 1024]
+    assert spark.conf.get(key) == before
+
+
 def test_pipeline_takes_five_words_at_80_percent(spark):
     """Scattered edits that leave 0.80 of 5-word shingles but under 0.85 of 4-word ones; op1 keeps its own values."""
     import corpus_pipeline
